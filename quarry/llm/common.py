@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package from where the driver has it.
+
+    Elsewhere it is installed, or shipped with --py-files.
+    """
+    top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if top not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([top, *filter(None, [env.get("PYTHONPATH")])])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
