@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, minhash, packing, phrases
+from quarry.llm import bpe, langid, minhash, packing, phrases
 from quarry.llm.common import table
 
 
@@ -29,6 +29,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold(F.col("doc_id"), 5) == 0
+    tagger = langid.train(docs.filter(~held_out))
+    return langid.identify(docs, tagger).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -37,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_phrases": op3_phrases,
     "op4_packing": op4_packing,
     "op7_minhash": op7_minhash,
+    "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
 }
 
