@@ -27,10 +27,11 @@ from quarry.llm.common import as_bytes
 #: Symbols of a leaf of the tree. Words of up to this length are encoded whole.
 LEAF = 8192
 #: Entries of a worker's memories of words and pre-tokens; they are emptied when full.
-WORDS, PRETOKENS = 400_000, 400_000
+WORDS, PRETOKENS = 100_000, 600_000
 
-_SIMPLE = re.compile(rb"[\x21-\x7e]*(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][\x21-\x7e]*)*")
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Texts of printable ASCII and Latin-1 letters, for which lower-casing and splitting are plain.
+_SIMPLE = re.compile(rb"[\x09-\x0d\x20-\x7e]*(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][\x09-\x0d\x20-\x7e]*)*")
+_SPLIT = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z\xdf-\xf6\xf8-\xff0-9]+")
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -133,6 +134,7 @@ class Encoder:
         model = spec["model"]
         self.vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         self.added = [x["content"].encode() for x in spec["added_tokens"]]
+        self.specials = re.compile(b"|".join(map(re.escape, self.added))) if self.added else None
         steps = spec.get("normalizer") or {}
         pre = spec.get("pre_tokenizer") or {}
         #: Whether words split as _SPLIT splits them once they are lower-case.
@@ -157,38 +159,50 @@ class Encoder:
         return self._merges
 
     def _pretoken(self, text: str) -> bytes:
-        got = self.pretokens.get(text)
-        if got is None:
-            mapped = text.encode().decode("latin-1").translate(self.letters)
-            got = np.array([x.id for x in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.pretokens) >= PRETOKENS:
-                self.pretokens.clear()
-            self.pretokens[text] = got
-        return got
+        mapped = text.encode().decode("latin-1").translate(self.letters)
+        if len(mapped) <= self.leaf:
+            return np.array([x.id for x in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+        return np.array(self.gather([(self.merges.encode(s), on) for s, on in self._leaves(mapped)]), "<u4").tobytes()
+
+    def _simple(self, text: bytes) -> bytes:
+        """Ids of a text that _SIMPLE matches and that holds no added token."""
+        parts = _SPLIT.findall(text.decode().lower())
+        cache = self.pretokens
+        try:
+            return b"".join(map(cache.__getitem__, parts))
+        except KeyError:
+            fresh = {p: self._pretoken(p) for p in set(parts) if p not in cache}
+        if len(cache) + len(fresh) > PRETOKENS:
+            cache.clear()
+        elif all(len(p) <= 64 for p in fresh):
+            cache.update(fresh)
+            return b"".join(map(cache.__getitem__, parts))
+        cache.update({p: x for p, x in fresh.items() if len(p) <= 64})
+        return b"".join([x if (x := cache.get(p)) is not None else x if (x := fresh.get(p)) is not None else self._pretoken(p) for p in parts])
 
     def word(self, word: bytes) -> bytes:
         """Ids of one run without ASCII white space, little-endian unsigned 32-bit."""
-        if len(word) > self.leaf:
-            return np.array(self.long_word(word), "<u4").tobytes()
-        if _SIMPLE.fullmatch(word) and not any(x in word for x in self.added):
-            return b"".join(map(self._pretoken, _SPLIT.findall(word.decode().lower())))
-        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        got = self.words.get(word)
+        if got is None:
+            if len(word) > self.leaf:
+                return np.array(self.gather([(self.merges.encode(s), on) for s, on in self.pieces(word)]), "<u4").tobytes()
+            if _SIMPLE.fullmatch(word) and not (self.specials and self.specials.search(word)):
+                got = self._simple(word)
+            else:
+                got = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            if len(word) <= 64:
+                if len(self.words) >= WORDS:
+                    self.words.clear()
+                self.words[word] = got
+        return got
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a whole text."""
-        words = text.split() if text else []
-        cache = self.words
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        fresh = {w: self.word(w) for w in set(words) if w not in cache}
-        if len(cache) + len(fresh) > WORDS:
-            cache.clear()
-        short = {w: x for w, x in fresh.items() if len(w) <= 64}
-        cache.update(short)
-        get, other = cache.get, fresh.get
-        return b"".join([x if (x := get(w)) is not None else x if (x := other(w)) is not None else self.word(w) for w in words])
+        if not text:
+            return b""
+        if _SIMPLE.fullmatch(text) and not (self.specials and self.specials.search(text)):
+            return self._simple(text)
+        return b"".join(map(self.word, text.split()))
 
     def decode(self, ids: bytes) -> bytes:
         """What the library's decode gives: without a decoder, the tokens joined by spaces."""
@@ -207,13 +221,12 @@ class Encoder:
                 continue
             normal = self.tokenizer.normalizer.normalize_str(chunk)
             for mapped, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-                symbols = [self.vocab[c] for c in mapped[:-1]] + [self.vocab[mapped[-1] + self.suffix]]
-                for i in range(0, len(symbols), self.leaf):
-                    parts.append((symbols[i : i + self.leaf], int(i + self.leaf < len(symbols))))
+                parts += self._leaves(mapped)
         return parts
 
-    def leaf_ids(self, symbols: list[int]) -> list[int]:
-        return self.merges.encode(symbols)
+    def _leaves(self, mapped: str) -> list[tuple[list[int], int]]:
+        symbols = [self.vocab[c] for c in mapped[:-1]] + [self.vocab[mapped[-1] + self.suffix]]
+        return [(symbols[i : i + self.leaf], int(i + self.leaf < len(symbols))) for i in range(0, len(symbols), self.leaf)]
 
     def gather(self, leaves: list[tuple[list[int], int]]) -> list[int]:
         """Encoded leaves of a word -> its ids; leaves that go on are joined as a tree."""
@@ -225,9 +238,6 @@ class Encoder:
                 run = []
         return out + (self.merges.tree(run) if run else [])
 
-    def long_word(self, word: bytes) -> list[int]:
-        return self.gather([(self.leaf_ids(s), on) for s, on in self.pieces(word)])
-
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
@@ -326,7 +336,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, leaf)
         for b in batches:
-            done = [x if on == 2 else np.array(e.leaf_ids(np.frombuffer(x, "<u4").tolist()), "<u4").tobytes() for x, on in zip(b.column(4).to_pylist(), b.column(3).to_pylist())]
+            done = [x if on == 2 else np.array(e.merges.encode(np.frombuffer(x, "<u4").tolist()), "<u4").tobytes() for x, on in zip(b.column(4).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(done, pa.binary())], ["doc_id", "row", "part", "on", "symbols"])
 
     def join_up(got: pa.Table) -> pa.Table:
