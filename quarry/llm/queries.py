@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, langid, minhash, packing, phrases
+from quarry.llm import bpe, langid, minhash, packing, phrases, quality
 from quarry.llm.common import table
 
 
@@ -17,6 +17,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = quality.fold(F.col("doc_id"), 3) == 1
+    net = quality.train(docs.filter(~held_out), labels.filter(~held_out))
+    return quality.rate(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -41,6 +48,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_phrases": op3_phrases,
     "op4_packing": op4_packing,
     "op7_minhash": op7_minhash,
