@@ -61,13 +61,13 @@ def linked(common, n_a, n_b, percent: int):
 
 
 def _signed(rows: DataFrame, k: int, bands: int) -> DataFrame:
-    """(doc_id, n_shingles, same, bands, sketch); same: a 128-bit hash of the set."""
+    """(doc_id, row, n_shingles, same, bands, sketch); same: a 128-bit hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = Minima(bands)
         for b in batches:
             sizes, same, keys, sketches = [], [], [], []
-            for text in as_bytes(b.column(1)):
+            for text in as_bytes(b.column(2)):
                 s = shingle_set(text, k)
                 sizes.append(len(s))
                 if not len(s):
@@ -78,11 +78,11 @@ def _signed(rows: DataFrame, k: int, bands: int) -> DataFrame:
                 keys.append(minima.keys(signature))
                 sketches.append((signature & 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "same", "bands", "sketch"],
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "row", "n_shingles", "same", "bands", "sketch"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, same binary, bands array<long>, sketch binary")
+    return rows.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"), "text").mapInArrow(run, "doc_id long, row long, n_shingles long, same binary, bands array<long>, sketch binary")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -182,8 +182,8 @@ def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.repartition(*order).sortWithinPartitions(*order).select(*order, "left", "rep", "comp", "set").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row; with_row: and row, its text's hash.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word
     shingles; component_id is the smallest id that links reach. Equal sets are one class before
@@ -242,6 +242,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     final = components(comp.select("node", "component").union(more))
     homes = reps.select("same", "rep").join(final.toDF("rep", "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "same").join(homes, "same", "left")
+    out = signed.select("doc_id", "row", "n_shingles", "same").join(homes, "same", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", *["row"] * with_row, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, of which one stays for each group of near-duplicates.
+
+    The document of the smallest id stays; of rows that repeat it, one. Rows without an id or
+    without words all stay.
+    """
+    told = near_duplicates(docs, k, percent, id_col, text_col, with_row=True)
+    found = cut(told, "told")
+    names = ["_id", "_row", "_component"]
+    while set(names) & set(docs.columns):
+        names = [f"{x}_" for x in names]
+    keyed = docs.withColumn(names[0], F.col(id_col).cast("long")).withColumn(names[1], F.coalesce(F.xxhash64(text_col), F.lit(0)))
+    known = found.filter("doc_id is not null and n_shingles > 0")
+    gone = known.filter("not kept").select("doc_id", "row").distinct().toDF(*names[:2])
+    few = known.filter("not kept").count() <= SENT
+    left = keyed.join(F.broadcast(gone) if few else gone, names[:2], "left_anti")
+    again = known.filter("kept").groupBy("doc_id", "component_id").count().filter("count > 1").select("doc_id").distinct()
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    again = cut(again.toDF(names[0]), "again")  # ids that several rows have: one row for each of their components
+    homes = known.filter("kept").select("doc_id", "row", "component_id").distinct().toDF(*names)
+    one = left.join(again, names[0], "left_semi").join(homes, names[:2], "left")
+    alone = one.filter(F.col(names[2]).isNull()).select(*docs.columns)
+    first = one.filter(F.col(names[2]).isNotNull()).dropDuplicates([names[0], names[2]]).select(*docs.columns)
+    rest = keyed.join(F.broadcast(gone) if few else gone, names[:2], "left_anti").join(again, names[0], "left_anti")
+    return rest.select(*docs.columns).unionByName(alone).unionByName(first)

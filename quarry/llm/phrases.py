@@ -7,9 +7,9 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quarry.llm.common import U64, as_bytes, cut, gram_hashes, mix, word_hashes, words_of
 
@@ -167,6 +167,50 @@ def covered(n_words: int, starts: list[int] | None, window: int, copy: bool) ->
     return np.cumsum(mark[:-1]) > 0
 
 
+def _marked(docs: DataFrame, window: int, phrase: int, shard: int, id_col: str, text_col: str, starts: str, hit: str) -> DataFrame:
+    """docs with where its repeated windows start, and whether it has any."""
+    key, row = f"{starts}_key", f"{starts}_row"
+    keyed = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(row, F.coalesce(F.xxhash64(text_col), F.lit(0)))
+    known = keyed.filter(F.col(key).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    repeats = repeated_windows(known, window, phrase, shard)
+    n, m = repeats.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("starts"), F.lit(0))), F.lit(0))).first()
+    repeats = repeats.select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("starts").alias(starts), F.lit(True).alias(hit))
+    return keyed.join(F.broadcast(repeats) if n <= SENT and m <= 8 * SENT else repeats, [key, row], "left").drop(key, row)
+
+
+def _kept_words(text: bytes | None, starts: list[int] | None, hit: bool | None, window: int) -> tuple[list[bytes], list[bytes]]:
+    """(all words, those that stay)."""
+    words = words_of(text)
+    if not hit:
+        return words, words
+    gone = covered(len(words), starts, window, starts is None)
+    return words, [w for w, g in zip(words, gone.tolist()) if not g]
+
+
+def cleaned(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all rows and columns, with the words that remove_repeats() removes gone from its texts.
+
+    A text that loses words is its kept words joined by one space (empty if none is left); the
+    others stay as they are.
+    """
+    starts = "_starts"
+    while any(c.startswith(starts) for c in docs.columns):
+        starts += "_"
+    hit = f"{starts}_hit"
+
+    @F.pandas_udf(T.StringType())
+    def rest(texts: pd.Series, all_starts: pd.Series, hits: pd.Series) -> pd.Series:
+        out = []
+        for text, at, h in zip(texts, all_starts, hits):
+            words, left = _kept_words(text.encode() if text is not None else None, at, h is not None and h is not pd.NA and h == True, window)  # noqa: E712
+            out.append(text if len(words) == len(left) else b" ".join(left).decode("utf-8", "replace"))
+        return pd.Series(out, dtype=object)
+
+    marked = _marked(docs, window, phrase, shard, id_col, text_col, starts, hit)
+    new = F.when(F.col(hit), rest(F.col(text_col), F.col(starts), F.col(hit))).otherwise(F.col(text_col))
+    return marked.withColumn(text_col, new).select(*docs.columns)
+
+
 def remove_repeats(
     docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False
 ) -> DataFrame:
@@ -180,12 +224,9 @@ def remove_repeats(
     repeats others nor is repeated. Rows that repeat an id are texts of their own, and equal ids
     are not smaller. Other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    known = rows.filter("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    repeats = repeated_windows(known, window, phrase, shard).withColumn("hit", F.lit(True)).withColumnRenamed("doc_id", "key")
-    few = repeats.count() <= SENT and repeats.agg(F.coalesce(F.sum(F.coalesce(F.size("starts"), F.lit(0))), F.lit(0))).first()[0] <= 8 * SENT
-    here = rows.withColumn("key", F.col("doc_id").cast("long")).join(F.broadcast(repeats) if few else repeats, ["key", "row"], "left")
+    here = _marked(rows, window, phrase, shard, "doc_id", "text", "starts", "hit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,12 +234,8 @@ def remove_repeats(
             for z in range(0, len(texts), 1000):
                 n_words, n_removed, digests, kept = [], [], [], []
                 for i in range(z, min(z + 1000, len(texts))):
-                    words, starts = words_of(texts[i]), all_starts[i].as_py() if hits[i] else None
+                    words, left = _kept_words(texts[i], all_starts[i].as_py() if hits[i] else None, hits[i], window)
                     n_words.append(len(words))
-                    left = words
-                    if hits[i]:
-                        gone = covered(len(words), starts, window, starts is None)
-                        left = [w for w, g in zip(words, gone.tolist()) if not g]
                     n_removed.append(len(words) - len(left))
                     joined = b" ".join(left)
                     digests.append(hashlib.sha256(joined).hexdigest())

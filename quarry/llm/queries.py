@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, langid, minhash, packing, phrases, quality
+from quarry.llm import bpe, kdtree, langid, minhash, packing, phrases, quality
 from quarry.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_phrases": op3_phrases,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": op7_minhash,
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
+    "op10_kdtree": op10_kdtree,
 }
 
 ORACLES: dict[str, str] = {}
