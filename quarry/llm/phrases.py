@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -20,7 +19,7 @@ SHARD, SENT = 8_000_000, 500_000
 
 
 def anchors(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, fingerprints) of the phrase that each window picks: its least, leftmost one.
+    """(position, fingerprint) of the phrase that each window picks: its least, leftmost one.
 
     The choice depends on the window's own words alone, so equal windows pick equal phrases.
     """
@@ -35,7 +34,6 @@ def anchors(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, n
         m = len(at) - step
         at = np.where(least[at[:m]] <= least[at[step:]], at[:m], at[step:])
         width += step
-    at = np.unique(at)
     return at, grams[at]
 
 
@@ -80,59 +78,61 @@ def _phrases(rows: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, route: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(h1, h2, doc_id, row, pos) of windows that hold a recurring phrase.
+    """(h1, h2, doc_id, row, pos) of windows whose picked phrase recurs; pos: all its places.
 
     A shard has a bounded lot of documents, the fingerprints of recurring phrases that occur
     there, and which of its rows are copies. Its phrases are compiled to one automaton over
-    words, and all its documents stream through it once; every hit marks the windows around it.
+    words, and all its documents that may hold one stream through it; a hit marks the windows that
+    pick it.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        fps = set(right["fp"].drop_null().to_pylist())
+        fps = np.unique(right["fp"].drop_null().to_numpy()).view(U64)
         copies = set(zip(right["copy"].to_pylist(), right["copy_row"].to_pylist()))
-        out = {"h1": [], "h2": [], "doc_id": [], "row": [], "pos": []}
-        kept, phrases = [], {}
-        if fps:
+        kept, phrases = [], set()
+        if len(fps):
             for doc_id, row, text in zip(left["doc_id"].to_pylist(), left["row"].to_pylist(), as_bytes(left["text"])):
-                if (doc_id, row) in copies:
-                    continue
                 words = words_of(text)
-                if len(words) < window:
+                if len(words) < window or (doc_id, row) in copies:
                     continue
                 hashes = word_hashes(words)
                 at, found = anchors(hashes, window, phrase)
-                hit = [p for p, f in zip(at.tolist(), found.view(np.int64).tolist()) if f in fps]
+                hit = np.unique(at[np.isin(found, fps)]).tolist()
                 if hit:
-                    phrases.update({b" ".join(words[p : p + phrase]): None for p in hit})
-                    kept.append((doc_id, row, words, hashes))
+                    phrases.update(b" ".join(words[p : p + phrase]) for p in hit)
+                    kept.append((doc_id, row, words, hashes, at))
+        out = []
         if phrases:
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
             for p in phrases:
                 automaton.add_word(" " + p.decode("latin-1") + " ")  # a byte is a character, so offsets are bytes
             automaton.make_automaton()
-            for doc_id, row, words, hashes in kept:
+            for doc_id, row, words, hashes, at in kept:
                 ends = np.cumsum([len(w) + 1 for w in words])  # of each word's trailing space
                 hits = np.array([end for end, _ in automaton.iter(" " + b" ".join(words).decode("latin-1") + " ")], np.int64)
-                first = np.searchsorted(ends, hits) - phrase + 1
-                mark = np.zeros(len(words) - window + 2, np.int32)
-                np.add.at(mark, np.clip(first + phrase - window, 0, len(mark) - 1), 1)
-                np.add.at(mark, np.clip(first + 1, 0, len(mark) - 1), -1)
-                pos = np.flatnonzero(np.cumsum(mark)[:-1])
+                located = np.zeros(len(words), bool)
+                located[np.searchsorted(ends, hits) - phrase + 1] = True
+                pos = np.flatnonzero(located[at])
                 if len(pos):
-                    h1, h2 = window_hashes(hashes, window)
-                    for name, x in (("h1", h1[pos].view(np.int64)), ("h2", h2[pos].view(np.int64)), ("doc_id", np.full(len(pos), doc_id)), ("row", np.full(len(pos), row)), ("pos", pos)):
-                        out[name].append(x)
-        kinds = {"h1": np.int64, "h2": np.int64, "doc_id": np.int64, "row": np.int64, "pos": np.int32}
-        return pa.table({name: np.concatenate([np.empty(0, kinds[name]), *x]).astype(kinds[name]) for name, x in out.items()})
+                    h1, h2 = (h[pos] for h in window_hashes(hashes, window))
+                    order = np.lexsort((h2, h1))
+                    h1, h2, pos = h1[order], h2[order], pos[order]
+                    first = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+                    lists = pa.ListArray.from_arrays(pa.array([*first, len(pos)], pa.int32()), pa.array(pos, pa.int32()))
+                    same = [pa.array(np.full(len(first), x, np.int64)) for x in (doc_id, row)]
+                    out.append(pa.table([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), *same, lists], names=names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in [pa.int64()] * 4 + [pa.list_(pa.int32())]], names=names)
 
-    return docs.groupBy("bucket").cogroup(route.groupBy("bucket")).applyInArrow(run, "h1 long, h2 long, doc_id long, row long, pos int")
+    names = ["h1", "h2", "doc_id", "row", "pos"]
+    return docs.groupBy("bucket").cogroup(route.groupBy("bucket")).applyInArrow(run, "h1 long, h2 long, doc_id long, row long, pos array<int>")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD) -> DataFrame:
-    """(doc_id, row, starts): where windows start that also start in a smaller doc_id.
+    """(doc_id, row, spans): where windows start that also start in a smaller doc_id.
 
-    docs: doc_id (not null), row (a hash of the text), text. starts is null for a copy of a
-    whole text of a smaller doc_id: all its windows are such.
+    docs: doc_id (not null), row (a hash of the text), text. spans are runs of such starts,
+    first and last. It is null for a copy of a whole text of a smaller doc_id: all its windows
+    are such.
     """
     total = docs.agg(F.sum(F.length("text")), F.count("*")).first()
     shards = max(1, -(-(total[0] or 0) // shard))
@@ -152,38 +152,40 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     # Of each window that holds one, the smallest document with it; the others repeat it.
     found = cut(_windows(rows.select("bucket", "doc_id", "row", "text"), cut(route, "route"), window, phrase), "windows")
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    repeats = found.join(least, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("starts"))
-    return cut(repeats.unionByName(copies.select(F.col("copy").alias("doc_id"), F.col("copy_row").alias("row"), F.lit(None).cast("array<int>").alias("starts")).distinct()), "repeats")
+    repeats = found.join(least, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("at"))
+    runs = lambda edge: F.filter("at", lambda x, i: ~F.coalesce(F.get("at", i + edge) == x + edge, F.lit(False)))
+    spans = repeats.select("doc_id", "row", F.arrays_zip(runs(-1).alias("first"), runs(1).alias("last")).alias("spans"))
+    kind = spans.schema["spans"].dataType
+    return cut(spans.unionByName(copies.select(F.col("copy").alias("doc_id"), F.col("copy_row").alias("row"), F.lit(None).cast(kind).alias("spans")).distinct()), "repeats")
 
 
-def covered(n_words: int, starts: list[int] | None, window: int, copy: bool) -> np.ndarray:
-    """Whether each word lies in one of the windows; a copy's words all do, if it has a window."""
-    if copy:
+def covered(n_words: int, spans: list[dict] | None, window: int) -> np.ndarray:
+    """Whether each word lies in a window of the spans; a whole copy's (null) words do, if it has a window."""
+    if spans is None:
         return np.full(n_words, n_words >= window)
-    mark = np.zeros(n_words + 1, np.int32)
-    at = np.array(starts or (), np.int64)
-    mark[at] = 1
-    np.subtract.at(mark, np.minimum(at + window, n_words), 1)
-    return np.cumsum(mark[:-1]) > 0
+    gone = np.zeros(n_words, bool)
+    for span in spans:
+        gone[span["first"] : span["last"] + window] = True
+    return gone
 
 
-def _marked(docs: DataFrame, window: int, phrase: int, shard: int, id_col: str, text_col: str, starts: str, hit: str) -> DataFrame:
+def _marked(docs: DataFrame, window: int, phrase: int, shard: int, id_col: str, text_col: str, spans: str, hit: str) -> DataFrame:
     """docs with where its repeated windows start, and whether it has any."""
-    key, row = f"{starts}_key", f"{starts}_row"
+    key, row = f"{spans}_key", f"{spans}_row"
     keyed = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(row, F.coalesce(F.xxhash64(text_col), F.lit(0)))
     known = keyed.filter(F.col(key).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
     repeats = repeated_windows(known, window, phrase, shard)
-    n, m = repeats.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("starts"), F.lit(0))), F.lit(0))).first()
-    repeats = repeats.select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("starts").alias(starts), F.lit(True).alias(hit))
-    return keyed.join(F.broadcast(repeats) if n <= SENT and m <= 8 * SENT else repeats, [key, row], "left").drop(key, row)
+    n = repeats.agg(F.coalesce(F.sum(F.greatest(F.size("spans"), F.lit(1))), F.lit(0))).first()[0]
+    repeats = repeats.select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("spans").alias(spans), F.lit(True).alias(hit))
+    return keyed.join(F.broadcast(repeats) if n <= SENT else repeats, [key, row], "left").drop(key, row)
 
 
-def _kept_words(text: bytes | None, starts: list[int] | None, hit: bool | None, window: int) -> tuple[list[bytes], list[bytes]]:
+def _kept_words(text: bytes | None, spans: list[dict] | None, hit: bool | None, window: int) -> tuple[list[bytes], list[bytes]]:
     """(all words, those that stay)."""
     words = words_of(text)
     if not hit:
         return words, words
-    gone = covered(len(words), starts, window, starts is None)
+    gone = covered(len(words), spans, window)
     return words, [w for w, g in zip(words, gone.tolist()) if not g]
 
 
@@ -193,22 +195,21 @@ def cleaned(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard:
     A text that loses words is its kept words joined by one space (empty if none is left); the
     others stay as they are.
     """
-    starts = "_starts"
-    while any(c.startswith(starts) for c in docs.columns):
-        starts += "_"
-    hit = f"{starts}_hit"
+    spans = "_spans"
+    while any(c.startswith(spans) for c in docs.columns):
+        spans += "_"
+    hit = f"{spans}_hit"
 
-    @F.pandas_udf(T.StringType())
-    def rest(texts: pd.Series, all_starts: pd.Series, hits: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.StringType())
+    def rest(texts: pa.Array, all_spans: pa.Array, hits: pa.Array) -> pa.Array:
         out = []
-        for text, at, h in zip(texts, all_starts, hits):
-            words, left = _kept_words(text.encode() if text is not None else None, at, h is not None and h is not pd.NA and h == True, window)  # noqa: E712
-            out.append(text if len(words) == len(left) else b" ".join(left).decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+        for text, at, hit in zip(as_bytes(texts), all_spans, hits.to_pylist()):
+            words, left = _kept_words(text, at.as_py(), True, window) if hit else ((), ())
+            out.append(text if len(words) == len(left) else b" ".join(left))
+        return pa.array(out, pa.binary()).cast(pa.string())
 
-    marked = _marked(docs, window, phrase, shard, id_col, text_col, starts, hit)
-    new = F.when(F.col(hit), rest(F.col(text_col), F.col(starts), F.col(hit))).otherwise(F.col(text_col))
-    return marked.withColumn(text_col, new).select(*docs.columns)
+    marked = _marked(docs, window, phrase, shard, id_col, text_col, spans, hit)
+    return marked.withColumn(text_col, rest(F.col(text_col), F.col(spans), F.col(hit))).select(*docs.columns)
 
 
 def remove_repeats(
@@ -226,15 +227,15 @@ def remove_repeats(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    here = _marked(rows, window, phrase, shard, "doc_id", "text", "starts", "hit")
+    here = _marked(rows, window, phrase, shard, "doc_id", "text", "spans", "hit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, all_starts, hits = as_bytes(b.column(1)), b.column(2), b.column(3).to_pylist()
+            texts, all_spans, hits = as_bytes(b.column(1)), b.column(2), b.column(3).to_pylist()
             for z in range(0, len(texts), 1000):
                 n_words, n_removed, digests, kept = [], [], [], []
                 for i in range(z, min(z + 1000, len(texts))):
-                    words, left = _kept_words(texts[i], all_starts[i].as_py() if hits[i] else None, hits[i], window)
+                    words, left = _kept_words(texts[i], all_spans[i].as_py() if hits[i] else None, hits[i], window)
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(left))
                     joined = b" ".join(left)
@@ -245,4 +246,4 @@ def remove_repeats(
 
     schema = f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     names = [x.split()[0] for x in schema.split(", ")]
-    return here.select("doc_id", "text", "starts", "hit").mapInArrow(run, schema)
+    return here.select("doc_id", "text", "spans", "hit").mapInArrow(run, schema)
