@@ -87,7 +87,7 @@ def _windows(docs: DataFrame, route: DataFrame, window: int, phrase: int) -> Dat
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        fps = np.unique(right["fp"].drop_null().to_numpy()).view(U64)
+        fps = np.unique(right["fp"].drop_null().to_numpy().view(U64))
         copies = set(zip(right["copy"].to_pylist(), right["copy_row"].to_pylist()))
         kept, phrases = [], set()
         if len(fps):
@@ -97,7 +97,7 @@ def _windows(docs: DataFrame, route: DataFrame, window: int, phrase: int) -> Dat
                     continue
                 hashes = word_hashes(words)
                 at, found = anchors(hashes, window, phrase)
-                hit = np.unique(at[np.isin(found, fps)]).tolist()
+                hit = np.unique(at[fps[np.minimum(np.searchsorted(fps, found), len(fps) - 1)] == found]).tolist()
                 if hit:
                     phrases.update(b" ".join(words[p : p + phrase]) for p in hit)
                     kept.append((doc_id, row, words, hashes, at))
