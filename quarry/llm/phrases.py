@@ -77,13 +77,14 @@ def _phrases(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     return rows.select("doc_id", "bucket", "text").mapInArrow(run, "fp long, bucket long, doc_id long")
 
 
-def _windows(docs: DataFrame, route: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(h1, h2, doc_id, row, pos) of windows whose picked phrase recurs; pos: all its places.
-
-    A shard has a bounded lot of documents, the fingerprints of recurring phrases that occur
-    there, and which of its rows are copies. Its phrases are compiled to one automaton over
-    words, and all its documents that may hold one stream through it; a hit marks the windows that
-    pick it.
+def _segments(docs: DataFrame, route: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(s1, s2, doc_id, row, n, firsts, hashes): neighbouring windows that pick one recurring phrase.
+
+    n windows start at each of firsts; hashes has 128 bits of each of them, s1 and s2 of all
+    their words. A shard has a bounded lot of documents, the fingerprints of recurring phrases
+    that occur there, and which of its rows are copies. Its phrases are compiled to one automaton
+    over words, and all its documents that may hold one stream through it; a hit marks the windows
+    that pick it.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -112,19 +113,47 @@ def _windows(docs: DataFrame, route: DataFrame, window: int, phrase: int) -> Dat
                 hits = np.array([end for end, _ in automaton.iter(" " + b" ".join(words).decode("latin-1") + " ")], np.int64)
                 located = np.zeros(len(words), bool)
                 located[np.searchsorted(ends, hits) - phrase + 1] = True
-                pos = np.flatnonzero(located[at])
-                if len(pos):
-                    h1, h2 = (h[pos] for h in window_hashes(hashes, window))
-                    order = np.lexsort((h2, h1))
-                    h1, h2, pos = h1[order], h2[order], pos[order]
-                    first = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-                    lists = pa.ListArray.from_arrays(pa.array([*first, len(pos)], pa.int32()), pa.array(pos, pa.int32()))
-                    same = [pa.array(np.full(len(first), x, np.int64)) for x in (doc_id, row)]
-                    out.append(pa.table([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), *same, lists], names=names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in [pa.int64()] * 4 + [pa.list_(pa.int32())]], names=names)
+                firsts = np.flatnonzero(located[at] & np.r_[True, at[1:] != at[:-1]])
+                if len(firsts):
+                    h1, h2 = window_hashes(hashes, window)
+                    lasts = np.r_[np.flatnonzero(at[1:] != at[:-1]), len(at) - 1]
+                    lasts = lasts[np.searchsorted(lasts, firsts)]
+                    n = (lasts - firsts + 1).astype(np.int32)
+                    # The first and the last window overlap, so that they and n tell all words.
+                    s1, s2 = (mix(mix(h[firsts]) + h[lasts] + n.astype(U64)) for h in (h1, h2))
+                    order = np.lexsort((firsts, s2, s1))
+                    s1, s2, n, firsts = s1[order], s2[order], n[order], firsts[order]
+                    new = np.flatnonzero(np.r_[True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
+                    both = np.stack([h1, h2], axis=1)
+                    lists = pa.ListArray.from_arrays(pa.array([*new, len(firsts)], pa.int32()), pa.array(firsts, pa.int32()))
+                    same = [pa.array(np.full(len(new), x, np.int64)) for x in (doc_id, row)]
+                    raw = pa.array([both[f : f + m].tobytes() for f, m in zip(firsts[new].tolist(), n[new].tolist())], pa.binary())
+                    out.append(pa.table([pa.array(s1[new].view(np.int64)), pa.array(s2[new].view(np.int64)), *same, pa.array(n[new]), lists, raw], names=names))
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32()), pa.binary()]
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in kinds], names=names)
+
+    names = ["s1", "s2", "doc_id", "row", "n", "firsts", "hashes"]
+    return docs.groupBy("bucket").cogroup(route.groupBy("bucket")).applyInArrow(run, "s1 long, s2 long, doc_id long, row long, n int, firsts array<int>, hashes binary")
+
+
+def _windows(segments: DataFrame) -> DataFrame:
+    """(h1, h2, doc_id, row, pos): the windows of segments; pos: all their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for z in range(0, b.num_rows, 1000):
+                some = b.slice(z, 1000)
+                sizes = some.column(2).to_numpy()
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                step = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                h = np.frombuffer(b"".join(some.column(4).to_pylist()), np.int64).reshape(-1, 2)
+                lists = some.column(3).take(pa.array(at))
+                width = np.diff(lists.offsets.to_numpy())
+                pos = lists.flatten().to_numpy() + np.repeat(step, width).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(width)].astype(np.int32)), pa.array(pos, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), some.column(0).take(pa.array(at)), some.column(1).take(pa.array(at)), places], ["h1", "h2", "doc_id", "row", "pos"])
 
-    names = ["h1", "h2", "doc_id", "row", "pos"]
-    return docs.groupBy("bucket").cogroup(route.groupBy("bucket")).applyInArrow(run, "h1 long, h2 long, doc_id long, row long, pos array<int>")
+    return segments.select("doc_id", "row", "n", "firsts", "hashes").mapInArrow(run, "h1 long, h2 long, doc_id long, row long, pos array<int>")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD) -> DataFrame:
@@ -149,10 +178,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     route = placed.join(recurring, "fp", "left_semi").select("bucket", "fp", F.lit(None).cast("long").alias("copy"), F.lit(None).cast("long").alias("copy_row"))
     route = route.unionByName(copies.select("bucket", F.lit(None).cast("long").alias("fp"), "copy", "copy_row"))
 
-    # Of each window that holds one, the smallest document with it; the others repeat it.
-    found = cut(_windows(rows.select("bucket", "doc_id", "row", "text"), cut(route, "route"), window, phrase), "windows")
-    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    repeats = found.join(least, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("at"))
+    # Segments of smaller documents that recur whole; where a segment stands first, its windows are
+    # looked at one by one, as each may stand in a smaller document among other words.
+    found = cut(_segments(rows.select("bucket", "doc_id", "row", "text"), cut(route, "route"), window, phrase), "segments")
+    known = found.join(found.groupBy("s1", "s2").agg(F.min("doc_id").alias("least")), ["s1", "s2"])
+    whole = known.filter("doc_id > least").select("doc_id", "row", F.flatten(F.transform("firsts", lambda f: F.sequence(f, f + F.col("n") - 1))).alias("pos"))
+    single = cut(_windows(known.filter("doc_id = least")), "windows")
+    least = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    repeats = single.join(least, ["h1", "h2"]).filter("doc_id > least").select("doc_id", "row", "pos").unionByName(whole)
+    repeats = repeats.groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("at"))
     runs = lambda edge: F.filter("at", lambda x, i: ~F.coalesce(F.get("at", i + edge) == x + edge, F.lit(False)))
     spans = repeats.select("doc_id", "row", F.arrays_zip(runs(-1).alias("first"), runs(1).alias("last")).alias("spans"))
     kind = spans.schema["spans"].dataType
