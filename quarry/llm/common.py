@@ -7,6 +7,8 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -76,6 +78,18 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Arrow batches of few rows in jobs that run inside: for rows that hold large values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A text column as UTF-8 bytes, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -7,13 +7,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.llm.common import as_bytes
+
 #: Documents of a language and in all, and characters of each, that training draws at most.
 PER_LANGUAGE, DOCUMENTS, CHARACTERS = 400, 6000, 4000
-#: Bytes of a word that the network reads in one go; a worker's memory of words, in entries.
-SPAN, WORDS = 48, 400_000
+#: Bytes of a word that the network reads in one go; a worker's memory of words, in entries; texts read together.
+SPAN, WORDS, LOT = 48, 200_000, 500
 #: Share of the pooled probability below which a document's language is not clear.
 CLEAR = 0.3
 UNKNOWN = "und"
@@ -206,8 +208,8 @@ class Reader:
         """Read the new words of many texts together, which suits the network better."""
         fresh = {w for x in texts for w in x.split()}.difference(self.at)
         fresh = list(fresh)[:WORDS]
-        for i in range(0, len(fresh), 100_000):
-            self._learn(fresh[i : i + 100_000])
+        for i in range(0, len(fresh), 30_000):
+            self._learn(fresh[i : i + 30_000])
 
 
 def fold(id_col: Column, parts: int) -> Column:
@@ -245,14 +247,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 def predictor(tagger: Tagger | None):
     """A column function: text -> struct of lang_pred and score."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(tagger) if tagger else None
-        for texts in batches:
-            texts = [None if x is None else x.encode() for x in texts]
+        for column in batches:
             names, scores = [], []
-            for i in range(0, len(texts), 1000):
-                some = texts[i : i + 1000]
+            for i in range(0, len(column), LOT):
+                some = as_bytes(column[i : i + LOT])
                 if reader:
                     reader.warm([x for x in some if x and len(x) < 1_000_000])
                 for x in some:
@@ -261,7 +262,7 @@ def predictor(tagger: Tagger | None):
                         continue
                     p = reader.pooled(x)
                     names.append(tagger.languages[int(p.argmax())]), scores.append(float(min(1.0, p.max())))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict.asNondeterministic()  # so that it runs once a row, wherever it is used
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import as_bytes, cut, gram_hashes, mix, word_hashes, words_of
+from quarry.llm.common import as_bytes, cut, gram_hashes, mix, small_batches, word_hashes, words_of
 from quarry.llm.components import components
 
 #: Minima in a band, and how likely a pair at the threshold may share no band.
@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     # Links with each bucket's smallest member, and their components.
     stars = members.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(_confirmed(stars, sets, sketches, percent, bands), "links")
+    with small_batches(docs.sparkSession):  # a set may be as large as a text
+        links = cut(_confirmed(stars, sets, sketches, percent, bands), "links")
     comp = components(links)
 
     # Buckets that hold several components. One whose members all share an earlier band is left to that band's.
@@ -238,7 +239,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     as_left = todo.filter("left").select("key", place("nl", 1).alias("l"), each("nm").alias("m"), F.lit(True).alias("left"), "rep", "comp")
     as_other = todo.select("key", each("nl").alias("l"), place("nm", 2).alias("m"), F.lit(False).alias("left"), "rep", "comp")
     blocks = as_left.unionByName(as_other).join(sets, "rep")
-    more = _block_links(blocks, percent)
+    with small_batches(docs.sparkSession):
+        more = cut(_block_links(blocks, percent), "more")
 
     final = components(comp.select("node", "component").union(more))
     homes = reps.select("same", "rep").join(final.toDF("rep", "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))

@@ -11,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from quarry.llm.common import as_bytes
+
 #: Positives and unlabelled documents that training draws at most (about; by a hash of the id).
 POSITIVES, UNLABELLED = 4000, 8000
 
@@ -161,9 +163,9 @@ def fold(id_col: Column, parts: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(parts))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _features(texts: pd.Series) -> pd.Series:
-    return pd.Series([features(None if x is None else x.encode()) for x in texts])
+@F.arrow_udf(T.BinaryType())
+def _features(texts: pa.Array) -> pa.Array:
+    return pa.array([features(x).astype("<f4").tobytes() for x in as_bytes(texts)], pa.binary())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", seed: int = 13) -> Net | None:
@@ -182,22 +184,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(trusted), "id", "left").withColumn("u", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(10_000_000)) < int(1e7 * min(1, UNLABELLED / n_u)))
     got = rows.filter("positive or u").select("id", F.coalesce("positive", F.lit(False)).alias("positive"), "u", _features("text").alias("x")).toPandas().sort_values("id", kind="stable")
-    p, u = (np.array([*got.loc[got[c], "x"]], np.float64).reshape(-1, N_FEATURES) for c in ("positive", "u"))
+    p, u = (np.frombuffer(b"".join(got.loc[got[c], "x"]), "<f4").reshape(-1, N_FEATURES).astype(np.float64) for c in ("positive", "u"))
     return fit(p, u)[0] if len(p) and len(u) else None
 
 
 def scorer(net: Net | None):
     """A column function: text -> score between 0 and 1; 0.5 without a classifier."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
             out = [np.empty(0)]
-            for i in range(0, len(texts), 500):
-                some = texts.iloc[i : i + 500]
-                x = np.stack([features(None if t is None else t.encode()) for t in some])
+            for i in range(0, len(column), 500):
+                x = np.stack([features(t) for t in as_bytes(column[i : i + 500])])
                 out.append(net.score(x) if net else np.full(len(x), 0.5))
-            yield pd.Series(np.concatenate(out))
+            yield pa.array(np.concatenate(out))
 
     return score.asNondeterministic()  # so that it runs once a row, wherever it is used
 
