@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarry.llm.common import U64, as_bytes, cut, gram_hashes, mix, word_hashes, words_of
+from quarry.llm.common import U64, as_bytes, cut, discard, gram_hashes, mix, word_hashes, words_of
 
 #: Words of a window, and of the phrases that windows are found by.
 WINDOW, PHRASE = 50, 8
@@ -180,17 +180,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
 
     # Segments of smaller documents that recur whole; where a segment stands first, its windows are
     # looked at one by one, as each may stand in a smaller document among other words.
-    found = cut(_segments(rows.select("bucket", "doc_id", "row", "text"), cut(route, "route"), window, phrase), "segments")
+    route = cut(route, "route")
+    discard(placed)
+    found = cut(_segments(rows.select("bucket", "doc_id", "row", "text"), route, window, phrase), "segments")
+    discard(route)
     known = found.join(found.groupBy("s1", "s2").agg(F.min("doc_id").alias("least")), ["s1", "s2"])
-    whole = known.filter("doc_id > least").select("doc_id", "row", F.flatten(F.transform("firsts", lambda f: F.sequence(f, f + F.col("n") - 1))).alias("pos"))
+    whole = cut(known.filter("doc_id > least").select("doc_id", "row", F.flatten(F.transform("firsts", lambda f: F.sequence(f, f + F.col("n") - 1))).alias("pos")), "whole")
     single = cut(_windows(known.filter("doc_id = least")), "windows")
+    discard(found)
     least = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     repeats = single.join(least, ["h1", "h2"]).filter("doc_id > least").select("doc_id", "row", "pos").unionByName(whole)
     repeats = repeats.groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("at"))
     runs = lambda edge: F.filter("at", lambda x, i: ~F.coalesce(F.get("at", i + edge) == x + edge, F.lit(False)))
     spans = repeats.select("doc_id", "row", F.arrays_zip(runs(-1).alias("first"), runs(1).alias("last")).alias("spans"))
     kind = spans.schema["spans"].dataType
-    return cut(spans.unionByName(copies.select(F.col("copy").alias("doc_id"), F.col("copy_row").alias("row"), F.lit(None).cast(kind).alias("spans")).distinct()), "repeats")
+    out = cut(spans.unionByName(copies.select(F.col("copy").alias("doc_id"), F.col("copy_row").alias("row"), F.lit(None).cast(kind).alias("spans")).distinct()), "repeats")
+    for done in (single, whole, copies):
+        discard(done)
+    return out
 
 
 def covered(n_words: int, spans: list[dict] | None, window: int) -> np.ndarray:
