@@ -194,3 +194,64 @@ def test_open_buckets(spark, monkeypatch):
     monkeypatch.setattr(images, "described", lambda *_: table)
     got = {r.media_id: r.group_id for r in images.copies(table).collect()}
     assert got == {10 * i + j: 10 * i for i in range(6) for j in range(3)}
+
+
+@pytest.mark.parametrize("descriptors", [1000, 2_000_000])
+def test_tables_meet(descriptors):
+    """AGREE matches, each APART bits apart: the rarest pair that the tables are sized for."""
+    rng, sampled = np.random.default_rng(2), images.tables_for(descriptors)
+    met = 0
+    for _ in range(150):
+        own = rng.integers(0, 2, (images.AGREE, images.TESTS), np.uint8)
+        far = own.copy()
+        for row in far:
+            row[rng.choice(images.TESTS, images.APART, replace=False)] ^= 1
+        a, b = (images.table_keys(np.packbits(x, axis=1), sampled) for x in (own, far))
+        met += len(np.intersect1d(a, b)) > 0
+    assert met / 150 > images.MEET - 0.08
+
+
+def strongly_edited(pixels, seed):
+    """A copy that is turned by any angle, rescaled, blurred and noisy."""
+    rng = np.random.default_rng(seed)
+    turn, factor = rng.uniform(0, 2 * np.pi), rng.uniform(0.8, 1.3)
+    h, w = pixels.shape
+    y, x = np.mgrid[0:h, 0:w] - np.array([h / 2, w / 2])[:, None, None]
+    u = np.rint((np.cos(turn) * x - np.sin(turn) * y) / factor + w / 2).astype(int)
+    v = np.rint((np.sin(turn) * x + np.cos(turn) * y) / factor + h / 2).astype(int)
+    out = images._smooth(pixels[np.clip(v, 0, h - 1), np.clip(u, 0, w - 1)], 1)
+    return np.clip(np.rint(out + rng.normal(0, 6, out.shape)), 0, 255)
+
+
+def linked_by_all_pairs(rows):
+    found = [(i, images.to_blob(*images.describe(images.decode(x)))) for i, x in rows]
+    return [(a, b) for k, (a, x) in enumerate(found) for b, y in found[:k] if images.alike(x, y)]
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_strong_edits(spark, monkeypatch, dense):
+    """Recall against alike() over all pairs: whole where all are compared, by MEET where tables are."""
+    rows = []
+    for i in range(24):
+        own = images.drawn(i)
+        rows += [(10 * i, images.pgm(own)), (10 * i + 1, images.pgm(strongly_edited(own, i))), (10 * i + 2, images.pgm(strongly_edited(own, i + 50)))]
+    links = linked_by_all_pairs(rows)
+    if not dense:
+        monkeypatch.setattr(images, "_keyed", sparse_keys(images.tables_for(2_000_000)))
+    df = spark.createDataFrame(rows, "media_id long, media binary").repartition(3)
+    got = {r.media_id: r.group_id for r in images.copies(df).collect()}
+    recall = sum(got[a] == got[b] for a, b in links) / len(links)
+    print("links", len(links), "recall", recall)
+    assert len(links) >= 20 and recall >= (1 if dense else images.MEET)
+    want = smallest([i for i, _ in rows], links)
+    assert not dense or got == want
+
+
+def sparse_keys(sampled):
+    def keyed(rows):
+        from pyspark.sql import functions as F
+
+        keys = F.udf(lambda blob: [int(k) for k in images.table_keys(images.from_blob(bytes(blob))[1], sampled)] if blob else [], "array<long>")
+        return images.cut(rows.withColumn("keys", keys("blob")), "keyed")
+
+    return keyed
