@@ -255,3 +255,16 @@ def sparse_keys(sampled):
         return images.cut(rows.withColumn("keys", keys("blob")), "keyed")
 
     return keyed
+
+
+def test_small_crops():
+    """A crop of a hundredth of a large picture's area: corners grow with the area, so enough are common."""
+    for seed in range(3):
+        large = images.drawn(seed, 960)
+        whole = images.describe(large)
+        assert len(whole[0]) > 50 * images.CORNERS
+        for top, left in ((0, 0), (411, 333), (864, 500), (130, 857)):
+            crop = images.describe(large[top : top + 96, left : left + 96])
+            assert images.agreeing(whole, crop, images.AGREE) >= images.AGREE, (seed, top, left)
+        assert images.agreeing(whole, images.describe(images.drawn(seed + 100))) < images.AGREE
+    assert len(images.describe(images.drawn(7))[0]) <= images.CORNERS
