@@ -268,3 +268,12 @@ def test_small_crops():
             assert images.agreeing(whole, crop, images.AGREE) >= images.AGREE, (seed, top, left)
         assert images.agreeing(whole, images.describe(images.drawn(seed + 100))) < images.AGREE
     assert len(images.describe(images.drawn(7))[0]) <= images.CORNERS
+
+
+def test_repeated_ids(spark):
+    """Two pictures of one id: each links with its own copies."""
+    a, b = images.drawn(1), images.drawn(2)
+    rows = [(5, images.pgm(a)), (5, images.pgm(b)), (7, images.pgm(images.edited(a, 1))), (8, images.pgm(images.edited(b, 2))), (5, images.pgm(images.drawn(3))), (9, images.pgm(images.drawn(4)))]
+    rows += [(3, images.pgm(images.edited(b, 3)))]
+    got = images.copies(spark.createDataFrame(rows, "media_id long, media binary").repartition(3)).collect()
+    assert sorted((r.media_id, r.group_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 5, False), (8, 3, False), (9, 9, True)]
