@@ -277,3 +277,14 @@ def test_repeated_ids(spark):
     rows += [(3, images.pgm(images.edited(b, 3)))]
     got = images.copies(spark.createDataFrame(rows, "media_id long, media binary").repartition(3)).collect()
     assert sorted((r.media_id, r.group_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 5, False), (8, 3, False), (9, 9, True)]
+
+
+def test_copies_query(spark):
+    """The query's groups on the small table are those of alike() over all pairs of its pictures."""
+    rows = [(r.media_id, bytes(r.media)) for r in images.pictures(spark.read.parquet(f"{SMALL}/embeddings.parquet")).collect() if r.media is not None]
+    got = queries.op6_images(spark, SMALL).collect()
+    assert len(got) >= len(rows) > 100
+    links = linked_by_all_pairs(rows)
+    want = smallest([i for i, _ in rows], links)
+    assert len(links) >= 30
+    assert {r.media_id: r.group_id for r in got if r.media_id in want} == want
