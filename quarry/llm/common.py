@@ -22,9 +22,12 @@ U64 = np.uint64
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import this package from where the driver has it.
 
-    Elsewhere it is installed, or shipped with --py-files.
+    Elsewhere it is installed, or shipped with --py-files. A worker is one task's: its
+    linear algebra runs on one thread, unless the environment says otherwise.
     """
     top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        env.setdefault(name, os.environ.get(name, "1"))
     if top not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([top, *filter(None, [env.get("PYTHONPATH")])])
 
@@ -37,10 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in local tests, a temporary one is made.
+    Where that setting is missing, a temporary one is made if all run on this machine (a local
+    master); elsewhere that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top

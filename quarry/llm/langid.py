@@ -1,9 +1,13 @@
-"""Language identification with a bidirectional gated recurrent network over bytes."""
+"""Language identification with a bidirectional gated recurrent network over bytes.
+
+The network reads the bytes of a whole text, across words, and labels every position; a
+document's probabilities are the mean over its positions. Texts are read in windows that
+overlap: a state is warmed up on the bytes beside a window before its positions count.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,129 +16,118 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import as_bytes
 
-#: Documents of a language and in all, and characters of each, that training draws at most.
-PER_LANGUAGE, DOCUMENTS, CHARACTERS = 400, 6000, 4000
-#: Bytes of a word that the network reads in one go; a worker's memory of words, in entries; texts read together.
-SPAN, WORDS, LOT = 48, 200_000, 500
-#: Share of the pooled probability below which a document's language is not clear.
-CLEAR = 0.3
+#: Documents of a language and in all that training draws at most, spans that it draws of each, and characters of a span.
+PER_LANGUAGE, DOCUMENTS, SPANS, SPAN = 400, 6000, 8, 48
+#: Positions of a window that count, and bytes that are read before and after them; rows of windows that are read in step.
+WINDOW, BESIDE, ROWS = 512, 16, 2048
+#: Texts whose windows are read together, and their bytes if more than one.
+LOT, LOT_BYTES = 1000, 4_000_000
+#: How many times the share of an even guess the pooled probability must be for a language to be clear, and the most that is asked.
+CLEAR, MOST = 1.6, 0.5
 UNKNOWN = "und"
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Gru:
-    """One direction. Bytes enter as rows of a table; gates z and r, candidate n."""
+    """One direction of a light gated unit: update gate z, candidate m, both piecewise linear.
+
+    States are columns. Bytes enter as columns of a table, which holds the biases too.
+    """
 
     def __init__(self, rng: np.random.Generator, hidden: int) -> None:
         h = self.hidden = hidden
-        self.w = rng.normal(0, 0.3, (256, 3 * h)).astype(np.float32)
-        self.u = (rng.normal(0, 1, (h, 3 * h)) / np.sqrt(h)).astype(np.float32)
-        self.b = np.zeros(3 * h, np.float32)
+        self.w = rng.normal(0, 0.3, (2 * h, 256)).astype(np.float32)
+        self.w[:h] += 0.5
+        self.u = (rng.normal(0, 0.7, (2 * h, h)) / np.sqrt(h)).astype(np.float32)
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.w, self.u, self.b]
+        return [self.w, self.u]
 
-    def forward(self, x: np.ndarray, live: np.ndarray | None = None, keep: bool = False):
-        """x: (rows, steps) bytes -> states (steps, rows, hidden). Rows stop where live is 0."""
-        h, (n, steps) = self.hidden, x.shape
-        state, states, tape = np.zeros((n, h), np.float32), np.empty((steps, n, h), np.float32), []
+    def step(self, x: np.ndarray, state: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next state, written over state; a and c are room to work in."""
+        h = self.hidden
+        np.take(self.w, x, axis=1, out=a, mode="clip")
+        np.dot(self.u, state, out=c)
+        a += c
+        z, m = a[:h], a[h:]
+        np.clip(z, 0, 1, out=z)
+        np.clip(m, -1, 1, out=m)
+        state -= m
+        state *= z
+        state += m
+        return state
+
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, list]:
+        """x: (steps, rows) bytes -> states (steps, hidden, rows), and what backward() needs."""
+        h, (steps, n) = self.hidden, x.shape
+        states, tape, state = np.empty((steps, h, n), np.float32), [], np.zeros((h, n), np.float32)
         for t in range(steps):
-            a, c = self.w[x[:, t]] + self.b, state @ self.u
-            zr = sigmoid(a[:, : 2 * h] + c[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            m = np.tanh(a[:, 2 * h :] + r * c[:, 2 * h :])
-            new = m + z * (state - m)
-            if live is not None:
-                new = np.where(live[:, t, None], new, state)
-            if keep:
-                tape.append((state, z, r, m, c[:, 2 * h :]))
-            state = states[t] = new
+            a = self.w[:, x[t]] + self.u @ state
+            z, m = np.clip(a[:h], 0, 1), np.clip(a[h:], -1, 1)
+            tape.append((state, z, m))
+            state = states[t] = m + z * (state - m)
         return states, tape
 
-    def backward(self, x: np.ndarray, live: np.ndarray, tape: list, d_states: np.ndarray) -> list[np.ndarray]:
+    def backward(self, x: np.ndarray, tape: list, d_states: np.ndarray) -> list[np.ndarray]:
         """Gradients of the parameters, through time; d_states: of the loss by each state."""
-        h = self.hidden
-        dw, du, db = (np.zeros_like(p) for p in self.parameters())
+        du, outer = np.zeros_like(self.u), np.empty((len(x), 2 * self.hidden, x.shape[1]), np.float32)
         carry = np.zeros_like(d_states[0])
-        for t in range(x.shape[1] - 1, -1, -1):
-            state, z, r, m, c = tape[t]
-            on = live[:, t, None]
+        for t in range(len(x) - 1, -1, -1):
+            state, z, m = tape[t]
             d = d_states[t] + carry
-            dn = np.where(on, d, 0)
-            dm = dn * (1 - z) * (1 - m * m)
-            dz = dn * (state - m) * z * (1 - z)
-            dr = dm * c * r * (1 - r)
-            inner = np.concatenate([dz, dr, dm * r], axis=1)
-            outer = np.concatenate([dz, dr, dm], axis=1)
-            du += state.T @ inner
-            db += outer.sum(axis=0)
-            np.add.at(dw, x[:, t], outer)
-            carry = np.where(on, dn * z + inner @ self.u.T, d)
-        return [dw, du, db]
+            dz = np.where((z > 0) & (z < 1), d * (state - m), 0)
+            dm = np.where(np.abs(m) < 1, d * (1 - z), 0)
+            outer[t] = g = np.concatenate([dz, dm])
+            du += g @ state.T
+            carry = d * z + self.u.T @ g
+        dw = np.stack([np.bincount(x.ravel(), g.ravel(), 256) for g in outer.transpose(1, 0, 2)])
+        return [dw.astype(np.float32), du]
+
+
+def softmax(logits: np.ndarray, axis: int) -> np.ndarray:
+    logits -= logits.max(axis=axis, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=axis, keepdims=True)
+    return logits
 
 
 class Tagger:
-    """Labels every byte of a word with a language, from both sides."""
+    """Labels every byte of a text with a language, from both sides."""
 
-    def __init__(self, languages: list[str], hidden: int = 16, seed: int = 3) -> None:
+    def __init__(self, languages: list[str], hidden: int = 8, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         self.languages = languages
         self.ahead, self.back = Gru(rng, hidden), Gru(rng, hidden)
-        self.v = (rng.normal(0, 1, (2 * hidden, len(languages))) / np.sqrt(hidden)).astype(np.float32)
-        self.c = np.zeros(len(languages), np.float32)
+        self.v = (rng.normal(0, 1, (len(languages), 2 * hidden)) / np.sqrt(hidden)).astype(np.float32)
+        self.c = np.zeros((len(languages), 1), np.float32)
 
     def parameters(self) -> list[np.ndarray]:
         return [*self.ahead.parameters(), *self.back.parameters(), self.v, self.c]
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Words of one length, (rows, steps) -> probabilities (steps, rows, languages)."""
-        a, b = self.ahead.forward(x)[0], self.back.forward(x[:, ::-1])[0][::-1]
-        logits = np.concatenate([a, b], axis=2) @ self.v + self.c
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return p / p.sum(axis=2, keepdims=True)
-
-    def step(self, words: list[bytes], labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean cross-entropy over all bytes of the words, and its gradients."""
-        size, n = np.array([len(w) for w in words]), len(words)
-        steps = int(size.max())
-        x = np.zeros((n, steps), np.uint8)
-        for i, w in enumerate(words):
-            x[i, : len(w)] = np.frombuffer(w, np.uint8)
-        live = np.arange(steps) < size[:, None]
-        turn = np.where(live, size[:, None] - 1 - np.arange(steps), np.arange(steps))  # each row's own reverse
-        rx = np.take_along_axis(x, turn, axis=1)
-        a, tape_a = self.ahead.forward(x, live, True)
-        rb, tape_b = self.back.forward(rx, live, True)
-        at = turn.T[:, :, None]
-        both = np.concatenate([a, np.take_along_axis(rb, at, axis=0)], axis=2)
-        logits = both @ self.v + self.c
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        weight = live.T / live.sum()
-        loss = float(-(np.log(p[:, np.arange(n), labels] + 1e-9) * weight).sum())
-        d = p.copy()
-        d[:, np.arange(n), labels] -= 1
-        d = (d * weight[:, :, None]).astype(np.float32)
-        d_both = d @ self.v.T
-        h = self.ahead.hidden
-        grads = self.ahead.backward(x, live, tape_a, d_both[:, :, :h])
-        grads += self.back.backward(rx, live, tape_b, np.take_along_axis(d_both[:, :, h:], at, axis=0))
-        return loss, [*grads, np.einsum("tnh,tnl->hl", both, d), d.sum(axis=(0, 1))]
-
-    def fit(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = 900, batch: int = 256, rate: float = 0.01, seed: int = 5) -> float:
-        """Adam over words drawn by weight; words of like length go together. Gives the last loss."""
+    def step(self, x: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross-entropy over all positions of spans (steps, rows), and its gradients."""
+        n, h = x.shape[1], self.ahead.hidden
+        a, tape_a = self.ahead.forward(x)
+        b, tape_b = self.back.forward(x[::-1])
+        both = np.concatenate([a, b[::-1]], axis=1)
+        p = softmax(np.matmul(self.v, both) + self.c, 1)
+        loss = -float(np.log(p[:, labels, np.arange(n)] + 1e-9).mean())
+        p[:, labels, np.arange(n)] -= 1
+        d = p / np.float32(x.size)
+        d_both = np.matmul(self.v.T, d)
+        grads = self.ahead.backward(x, tape_a, d_both[:, :h]) + self.back.backward(x[::-1], tape_b, d_both[::-1, h:])
+        return loss, [*grads, np.matmul(d, both.transpose(0, 2, 1)).sum(axis=0), d.sum(axis=(0, 2))[:, None]]
+
+    def fit(self, x: np.ndarray, labels: np.ndarray, steps: int = 400, batch: int = 192, rate: float = 0.02, seed: int = 5) -> float:
+        """Adam over spans (spans, bytes), each language as often as the others. Gives the last loss."""
         rng = np.random.default_rng(seed)
         params = self.parameters()
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        chance, loss = np.cumsum(weights / weights.sum()), 0.0
+        by_label, loss = [np.flatnonzero(labels == k) for k in np.unique(labels)], 0.0
         for k in range(1, steps + 1):
-            some = np.minimum(np.searchsorted(chance, rng.random(batch)), len(words) - 1)
-            loss, grads = self.step([words[i] for i in some], labels[some])
+            some = np.array([rng.choice(by_label[j]) for j in rng.integers(len(by_label), size=batch)])
+            loss, grads = self.step(np.ascontiguousarray(x[some].T), labels[some])
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             now = rate * min(1.0, 2.0 * (1 - k / (steps + 1)))
             for p, g, m, v in zip(params, grads, first, second):
@@ -144,84 +137,100 @@ class Tagger:
                 p -= now * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.998**k)) + 1e-6)
         return loss
 
-
-def spans(word: bytes) -> list[bytes]:
-    """What the network reads of a word: A-Z in lower case, a space on each side, SPAN at a time."""
-    padded = b" " + word.lower() + b" "
-    return [padded[i : i + SPAN] for i in range(0, len(padded), SPAN)]
+    def read(self, windows: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """Sums (windows, languages) of the probabilities at positions from first to before end of each window's bytes."""
+        out = np.zeros((len(windows), len(self.languages)))
+        order = sorted(range(len(windows)), key=lambda i: -len(windows[i][0]))
+        rows = max(64, min(ROWS, 2**24 // ((WINDOW + 2 * BESIDE) * len(self.languages))))
+        for z in range(0, len(order), rows):
+            some = order[z : z + rows]
+            out[some] = self._read([windows[i] for i in some])
+        return out
+
+    def _read(self, windows: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """The same for windows that fit in memory, longest first: shorter ones drop out of later steps."""
+        n, sizes = len(windows), np.array([len(w) for w, _, _ in windows])
+        steps, h = int(sizes[0]), self.ahead.hidden
+        x = np.frombuffer(b"".join(w.ljust(steps, b" ") for w, _, _ in windows), np.uint8).reshape(n, steps).T
+        x = np.ascontiguousarray(x)
+        live = np.searchsorted(-sizes, -np.arange(steps), "left")  # rows of more than t bytes
+        logits = np.zeros((steps, len(self.languages), n), np.float32)
+        a, c = (np.empty((2 * h * n,), np.float32) for _ in range(2))
+        room = lambda buffer, k: buffer[: 2 * h * k].reshape(2 * h, k)
+        state = np.zeros((h, n), np.float32)
+        v_ahead, v_back = np.ascontiguousarray(self.v[:, :h]), np.ascontiguousarray(self.v[:, h:])
+        for t in range(steps):
+            k = int(live[t])
+            if k < state.shape[1]:
+                state = np.ascontiguousarray(state[:, :k])
+            self.ahead.step(x[t, :k], state, room(a, k), room(c, k))
+            logits[t, :, :k] = v_ahead @ state
+        state = np.zeros((h, 0), np.float32)
+        for t in range(steps - 1, -1, -1):
+            k = int(live[t])
+            if k > state.shape[1]:
+                state = np.concatenate([state, np.zeros((h, k - state.shape[1]), np.float32)], axis=1)
+            self.back.step(x[t, :k], state, room(a, k), room(c, k))
+            logits[t, :, :k] += v_back @ state
+        total = np.zeros((len(self.languages), n))
+        first, end = (np.array([w[i] for w in windows]) for i in (1, 2))
+        for t in range(0, steps, 64):
+            p = logits[t : t + 64]
+            at = np.arange(t, t + len(p))[:, None]
+            p += self.c
+            np.clip(p, -40, 40, out=p)
+            np.exp(p, out=p)
+            p *= (((at >= first) & (at < end)) / p.sum(axis=1)).astype(np.float32)[:, None, :]
+            total += p.sum(axis=0)
+        return total.T
+
+
+def windows_of(text: bytes) -> list[tuple[bytes, int, int]]:
+    """The overlapping windows of a text, A-Z in lower case: (bytes, where positions begin to count, where they end)."""
+    low, out = text.lower(), []
+    for i in range(0, len(low), WINDOW):
+        a, z = max(0, i - BESIDE), min(len(low), i + WINDOW + BESIDE)
+        out.append((low[a:z], i - a, min(len(low), i + WINDOW) - a))
+    return out
 
 
 def has_letter(text: bytes | None) -> bool:
     return bool(text) and (bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
-class Reader:
-    """Applies a tagger to whole documents, in one worker.
+def pooled(tagger: Tagger, texts: list[bytes]) -> np.ndarray:
+    """(texts, languages): mean probabilities over all positions of each text."""
+    out = np.zeros((len(texts), len(tagger.languages)))
+    lot, home, size = [], [], 0
 
-    A network starts afresh at each word, so a word's positions have the same labels wherever
-    it stands: each distinct word is read once, and its sums are remembered.
-    """
+    def flush() -> None:
+        np.add.at(out, home, tagger.read(lot))
+        lot.clear(), home.clear()
 
-    def __init__(self, tagger: Tagger) -> None:
-        self.tagger, self.at, self.used = tagger, {}, 0
-        self.sums = np.zeros((1024, len(tagger.languages) + 1), np.float32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.at) + len(words) > WORDS:
-            self.at, self.used = {}, 0
-        base, need = self.used, self.used + len(words)
-        if need > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros((max(need, 2 * len(self.sums)) - len(self.sums), self.sums.shape[1]), np.float32)])
-        self.sums[base:need] = 0
-        pieces = [(len(s), s, i) for i, w in enumerate(words, base) for s in spans(w)]
-        pieces.sort(key=lambda p: p[0])
-        i = 0
-        while i < len(pieces):
-            size, j = pieces[i][0], i
-            while j < len(pieces) and j - i < 4096 and pieces[j][0] == size:
-                j += 1
-            x = np.frombuffer(b"".join(p[1] for p in pieces[i:j]), np.uint8).reshape(-1, size)
-            part = self.tagger.positions(x).sum(axis=0)
-            np.add.at(self.sums, [p[2] for p in pieces[i:j]], np.concatenate([part, np.full((len(part), 1), size, np.float32)], axis=1))
-            i = j
-        self.at.update(zip(words, range(base, need)))
-        self.used = need
-
-    def pooled(self, text: bytes) -> np.ndarray:
-        """Mean probability of each language over all positions of the document."""
-        words = text.split()
-        total, i = np.zeros(self.sums.shape[1]), 0
-        while i < len(words):  # very long texts in lots, so that memory stays bounded
-            some = words[i : i + 100_000]
-            try:
-                at = np.fromiter(map(self.at.__getitem__, some), np.int64, len(some))
-            except KeyError:
-                self._learn([w for w in dict.fromkeys(some) if w not in self.at])
-                if any(w not in self.at for w in some):  # the memory was emptied for the new words
-                    self._learn([w for w in dict.fromkeys(some) if w not in self.at])
-                at = np.fromiter(map(self.at.__getitem__, some), np.int64, len(some))
-            total += self.sums[at].sum(axis=0, dtype=np.float64)
-            i += len(some)
-        return total[:-1] / max(total[-1], 1)
-
-    def warm(self, texts: list[bytes]) -> None:
-        """Read the new words of many texts together, which suits the network better."""
-        fresh = {w for x in texts for w in x.split()}.difference(self.at)
-        fresh = list(fresh)[:WORDS]
-        for i in range(0, len(fresh), 30_000):
-            self._learn(fresh[i : i + 30_000])
+    for i, text in enumerate(texts):
+        for z in range(0, len(text), LOT_BYTES):  # a very long text in parts, each with what stands beside it
+            a = max(0, z - BESIDE)
+            for w, first, end in windows_of(text[a : z + LOT_BYTES + BESIDE]):
+                lot.append((w, first, end)), home.append(i)
+            size += min(LOT_BYTES, len(text) - z)
+            if size >= LOT_BYTES:
+                flush()
+                size = 0
+    if lot:
+        flush()
+    return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-9)
 
 
 def fold(id_col: Column, parts: int) -> Column:
-    """crc32 of the id as text, modulo parts."""
-    return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(parts))
+    """crc32 of the id as text, modulo parts; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", seed: int = 11) -> Tagger | None:
     """A tagger from a bounded, even sample of labelled documents; None if none is labelled.
 
     Draws about PER_LANGUAGE documents of each label (fewer if there are many labels) by a hash
-    of the id, and reads their first CHARACTERS characters.
+    of the id, and SPANS spans of SPAN characters from anywhere in the whole text of each.
     """
     usable = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
     counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
@@ -230,17 +239,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     each = max(1, min(PER_LANGUAGE, DOCUMENTS // len(counts)))
     shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, max(1.3 * each, each + 40.0) / n))])
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    rows = usable.filter(draw < F.element_at(shares, F.col("label"))).select("label", draw.alias("draw"), "id", F.substring("text", 1, CHARACTERS).alias("text")).collect()
-    languages, words, labels, weights = sorted(counts), [], [], []
+    place = lambda i: F.pmod(F.xxhash64("id", i, F.lit(seed)), F.greatest(F.length("text") - SPAN + 1, F.lit(1))).cast("int")
+    spans = F.transform(F.sequence(F.lit(1), F.lit(SPANS)), lambda i: F.substring(F.col("text"), place(i) + 1, F.lit(SPAN)))
+    rows = usable.filter(draw < F.element_at(shares, F.col("label"))).select("label", draw.alias("draw"), "id", spans.alias("spans")).collect()
+    languages, x, labels = sorted(counts), [], []
     for i, name in enumerate(languages):
         mine = sorted((r for r in rows if r["label"] == name), key=lambda r: (r["draw"], str(r["id"])))[:each]
-        seen = Counter(s for r in mine for w in r["text"].encode().split() for s in spans(w) if has_letter(w))
-        total = sum(len(w) * n for w, n in seen.items()) or 1
-        for w, n in sorted(seen.items()):
-            words.append(w), labels.append(i), weights.append(len(w) * n / total)
+        for s in dict.fromkeys(s for r in mine for s in r["spans"]):
+            raw = s.encode().lower()[:SPAN]
+            if has_letter(raw):
+                x.append((raw + b" " + raw * (SPAN // len(raw)))[:SPAN])  # short texts over and over
+                labels.append(i)
     tagger = Tagger(languages)
-    if words:
-        tagger.fit(words, np.array(labels), np.array(weights))
+    if x:
+        tagger.fit(np.frombuffer(b"".join(x), np.uint8).reshape(-1, SPAN), np.array(labels))
     return tagger
 
 
@@ -249,19 +261,17 @@ def predictor(tagger: Tagger | None):
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        reader = Reader(tagger) if tagger else None
         for column in batches:
             names, scores = [], []
             for i in range(0, len(column), LOT):
                 some = as_bytes(column[i : i + LOT])
-                if reader:
-                    reader.warm([x for x in some if x and len(x) < 1_000_000])
-                for x in some:
-                    if reader is None or not has_letter(x):
-                        names.append(UNKNOWN), scores.append(0.0)
-                        continue
-                    p = reader.pooled(x)
-                    names.append(tagger.languages[int(p.argmax())]), scores.append(float(min(1.0, p.max())))
+                told = [k for k, x in enumerate(some) if tagger is not None and has_letter(x)]
+                p = pooled(tagger, [some[k] for k in told]) if told else np.empty((0, 1))
+                name, score = [UNKNOWN] * len(some), [0.0] * len(some)
+                for k, best, high in zip(told, p.argmax(axis=1).tolist(), p.max(axis=1).tolist()):
+                    name[k], score[k] = tagger.languages[best], min(1.0, high)
+                names += name
+                scores += score
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict.asNondeterministic()  # so that it runs once a row, wherever it is used
@@ -278,10 +288,15 @@ def identify(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", tex
     return told.select("doc_id", "p.lang_pred", "p.score")
 
 
-def clear(docs: DataFrame, tagger: Tagger | None, text_col: str = "text", least: float = CLEAR) -> DataFrame:
-    """The rows, all columns as they are, whose language is told with a score of at least least."""
+def least_score(tagger: Tagger | None) -> float:
+    """The pooled probability from which a language is clear: CLEAR times that of an even guess."""
+    return min(MOST, CLEAR / len(tagger.languages)) if tagger and len(tagger.languages) > 1 else 0.0
+
+
+def clear(docs: DataFrame, tagger: Tagger | None, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """The rows, all columns as they are, whose language is told with a score of at least least (least_score() if None)."""
     name = "_told"
     while name in docs.columns:
         name += "_"
     told = docs.withColumn(name, predictor(tagger)(F.col(text_col)))
-    return told.filter((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least)).drop(name)
+    return told.filter((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= (least_score(tagger) if least is None else least))).drop(name)

@@ -159,8 +159,8 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 1500, seed: int = 2) -> tuple
 
 
 def fold(id_col: Column, parts: int) -> Column:
-    """crc32 of the id as text, modulo parts."""
-    return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(parts))
+    """crc32 of the id as text, modulo parts; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
 @F.arrow_udf(T.BinaryType())
