@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarry.llm.common import U64, as_bytes, cut, discard, gram_hashes, mix, word_hashes, words_of
+from quarry.llm.common import U64, as_bytes, cut, discard, gram_hashes, mix, small_batches, word_hashes, words_of
 
 #: Words of a window, and of the phrases that windows are found by.
 WINDOW, PHRASE = 50, 8
 #: Characters of the documents that share an automaton; keys sent to all executors if no more than this many.
-SHARD, SENT = 8_000_000, 500_000
+SHARD, SENT = 2_000_000, 500_000
+#: Symbols of a digit, in which an automaton's words are written.
+DIGIT = 32
 
 
 def anchors(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,80 +62,126 @@ def window_hashes(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _phrases(rows: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(fp, bucket, doc_id) of each document's picked phrases, without repeats in a document."""
+    """(phrase, bucket, doc_id) of each document's picked phrases, without repeats in a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_bytes(b.column(2))
-            for i in range(0, len(texts), 2000):
-                fps, where = [], []
-                for j, text in enumerate(texts[i : i + 2000], i):
-                    fp = np.unique(anchors(word_hashes(words_of(text)), window, phrase)[1])
-                    fps.append(fp)
-                    where.append(np.full(len(fp), j))
-                at = pa.array(np.concatenate(where))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps).view(np.int64)), b.column(1).take(at), b.column(0).take(at)], ["fp", "bucket", "doc_id"])
+            for i in range(0, len(texts), 500):
+                said, where = [], []
+                for j, text in enumerate(texts[i : i + 500], i):
+                    words = words_of(text)
+                    at = anchors(word_hashes(words), window, phrase)[0]
+                    mine = {b" ".join(words[p : p + phrase]) for p in at[np.r_[True, at[1:] != at[:-1]]].tolist()} if len(at) else ()
+                    said += mine
+                    where += [j] * len(mine)
+                at = pa.array(where, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), b.column(1).take(at), b.column(0).take(at)], ["phrase", "bucket", "doc_id"])
+
+    return rows.select("doc_id", "bucket", "text").mapInArrow(run, "phrase binary, bucket long, doc_id long")
+
+
+class Locator:
+    """An Aho-Corasick automaton that finds every occurrence of phrases of equal length in words.
+
+    The phrases' own words are numbered, and a number is written in digits of DIGIT symbols;
+    each place of a digit has symbols of its own, so that a match begins where a word does. A
+    word of no phrase is a symbol that matches nothing.
+    """
 
-    return rows.select("doc_id", "bucket", "text").mapInArrow(run, "fp long, bucket long, doc_id long")
+    def __init__(self, phrases: Iterable[bytes], length: int) -> None:
+        split = [p.split(b" ") for p in phrases]
+        names = list(dict.fromkeys(w for p in split for w in p))
+        self.length, self.digits = length, 1
+        while DIGIT**self.digits < len(names):
+            self.digits += 1
+        places = range(self.digits)
+        self.code = {w: "".join(chr(1 + k * DIGIT + i // DIGIT**k % DIGIT) for k in places) for i, w in enumerate(names)}
+        self.other = chr(1 + self.digits * DIGIT) * self.digits
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in split:
+            self.automaton.add_word("".join(map(self.code.__getitem__, p)))
+        self.automaton.make_automaton()
+
+    def starts(self, words: list[bytes]) -> np.ndarray:
+        """The positions at which a phrase stands among the words."""
+        code, other = self.code.get, self.other
+        ends = [end for end, _ in self.automaton.iter("".join([code(w, other) for w in words]))]
+        return (np.array(ends, np.int64) + 1) // self.digits - self.length
+
+
+NAMES = ["s1", "s2", "doc_id", "row", "n", "firsts", "hashes"]
+KINDS = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32()), pa.binary()]
+
+
+def segments_of(doc_id: int, row: int, words: list[bytes], starts: np.ndarray, window: int, phrase: int) -> pa.RecordBatch | None:
+    """The runs of neighbouring windows of a document that pick one and the same phrase, of those that stand at starts."""
+    hashes = word_hashes(words)
+    at = anchors(hashes, window, phrase)[0]
+    located = np.zeros(len(words), bool)
+    located[starts] = True
+    firsts = np.flatnonzero(located[at] & np.r_[True, at[1:] != at[:-1]])
+    if not len(firsts):
+        return None
+    h1, h2 = window_hashes(hashes, window)
+    lasts = np.r_[np.flatnonzero(at[1:] != at[:-1]), len(at) - 1]
+    lasts = lasts[np.searchsorted(lasts, firsts)]
+    n = (lasts - firsts + 1).astype(np.int32)
+    # The first and the last window overlap, so that they and n tell all words.
+    s1, s2 = (mix(mix(h[firsts]) + h[lasts] + n.astype(U64)) for h in (h1, h2))
+    order = np.lexsort((firsts, s2, s1))
+    s1, s2, n, firsts = s1[order], s2[order], n[order], firsts[order]
+    new = np.flatnonzero(np.r_[True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
+    both = np.stack([h1, h2], axis=1)
+    lists = pa.ListArray.from_arrays(pa.array([*new, len(firsts)], pa.int32()), pa.array(firsts, pa.int32()))
+    same = [pa.array(np.full(len(new), x, np.int64)) for x in (doc_id, row)]
+    raw = pa.array([both[f : f + m].tobytes() for f, m in zip(firsts[new].tolist(), n[new].tolist())], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(s1[new].view(np.int64)), pa.array(s2[new].view(np.int64)), *same, pa.array(n[new]), lists, raw], names=NAMES)
 
 
 def _segments(docs: DataFrame, route: DataFrame, window: int, phrase: int) -> DataFrame:
     """(s1, s2, doc_id, row, n, firsts, hashes): neighbouring windows that pick one recurring phrase.
 
     n windows start at each of firsts; hashes has 128 bits of each of them, s1 and s2 of all
-    their words. A shard has a bounded lot of documents, the fingerprints of recurring phrases
-    that occur there, and which of its rows are copies. Its phrases are compiled to one automaton
-    over words, and all its documents that may hold one stream through it; a hit marks the windows
-    that pick it.
+    their words. A bucket has a bounded lot of documents. First come its rows of route: the
+    confirmed phrases that are to be looked for there, which are compiled to the bucket's
+    automaton, and which of its documents are copies. Then its documents stream through the
+    automaton, one at a time; windows are looked at where it finds the phrase that they pick.
     """
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        fps = np.unique(right["fp"].drop_null().to_numpy().view(U64))
-        copies = set(zip(right["copy"].to_pylist(), right["copy_row"].to_pylist()))
-        kept, phrases = [], set()
-        if len(fps):
-            for doc_id, row, text in zip(left["doc_id"].to_pylist(), left["row"].to_pylist(), as_bytes(left["text"])):
-                words = words_of(text)
-                if len(words) < window or (doc_id, row) in copies:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, phrases, copies, locator, out, size = None, [], set(), None, [], 0
+        for b in batches:
+            ids, rows, texts = b.column(2).to_pylist(), b.column(3).to_pylist(), as_bytes(b.column(4))
+            for here, is_doc, doc_id, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ids, rows, texts):
+                if here != bucket:
+                    bucket, phrases, copies, locator = here, [], set(), None
+                if not is_doc:
+                    copies.add((doc_id, row)) if text is None else phrases.append(text)
                     continue
-                hashes = word_hashes(words)
-                at, found = anchors(hashes, window, phrase)
-                hit = np.unique(at[fps[np.minimum(np.searchsorted(fps, found), len(fps) - 1)] == found]).tolist()
-                if hit:
-                    phrases.update(b" ".join(words[p : p + phrase]) for p in hit)
-                    kept.append((doc_id, row, words, hashes, at))
-        out = []
-        if phrases:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for p in phrases:
-                automaton.add_word(" " + p.decode("latin-1") + " ")  # a byte is a character, so offsets are bytes
-            automaton.make_automaton()
-            for doc_id, row, words, hashes, at in kept:
-                ends = np.cumsum([len(w) + 1 for w in words])  # of each word's trailing space
-                hits = np.array([end for end, _ in automaton.iter(" " + b" ".join(words).decode("latin-1") + " ")], np.int64)
-                located = np.zeros(len(words), bool)
-                located[np.searchsorted(ends, hits) - phrase + 1] = True
-                firsts = np.flatnonzero(located[at] & np.r_[True, at[1:] != at[:-1]])
-                if len(firsts):
-                    h1, h2 = window_hashes(hashes, window)
-                    lasts = np.r_[np.flatnonzero(at[1:] != at[:-1]), len(at) - 1]
-                    lasts = lasts[np.searchsorted(lasts, firsts)]
-                    n = (lasts - firsts + 1).astype(np.int32)
-                    # The first and the last window overlap, so that they and n tell all words.
-                    s1, s2 = (mix(mix(h[firsts]) + h[lasts] + n.astype(U64)) for h in (h1, h2))
-                    order = np.lexsort((firsts, s2, s1))
-                    s1, s2, n, firsts = s1[order], s2[order], n[order], firsts[order]
-                    new = np.flatnonzero(np.r_[True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
-                    both = np.stack([h1, h2], axis=1)
-                    lists = pa.ListArray.from_arrays(pa.array([*new, len(firsts)], pa.int32()), pa.array(firsts, pa.int32()))
-                    same = [pa.array(np.full(len(new), x, np.int64)) for x in (doc_id, row)]
-                    raw = pa.array([both[f : f + m].tobytes() for f, m in zip(firsts[new].tolist(), n[new].tolist())], pa.binary())
-                    out.append(pa.table([pa.array(s1[new].view(np.int64)), pa.array(s2[new].view(np.int64)), *same, pa.array(n[new]), lists, raw], names=names))
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32()), pa.binary()]
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in kinds], names=names)
-
-    names = ["s1", "s2", "doc_id", "row", "n", "firsts", "hashes"]
-    return docs.groupBy("bucket").cogroup(route.groupBy("bucket")).applyInArrow(run, "s1 long, s2 long, doc_id long, row long, n int, firsts array<int>, hashes binary")
+                if not phrases or (doc_id, row) in copies:
+                    continue
+                if locator is None:
+                    locator = Locator(phrases, phrase)
+                words = words_of(text)
+                starts = locator.starts(words) if len(words) >= window else ()
+                if len(starts) and (found := segments_of(doc_id, row, words, starts, window, phrase)):
+                    out.append(found)
+                    size += found.nbytes
+                    if size > 1 << 22:
+                        yield _joined(out)
+                        out, size = [], 0
+        if out:
+            yield _joined(out)
+
+    first = route.select("bucket", F.lit(False).alias("is_doc"), F.col("copy").alias("doc_id"), F.col("copy_row").alias("row"), F.col("phrase").cast("string").alias("text"))
+    every = first.unionByName(docs.filter(F.length("text") >= 2 * window - 1).select("bucket", F.lit(True).alias("is_doc"), "doc_id", "row", "text"))
+    dealt = every.repartition("bucket").sortWithinPartitions("bucket", "is_doc")
+    return dealt.mapInArrow(run, "s1 long, s2 long, doc_id long, row long, n int, firsts array<int>, hashes binary")
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _windows(segments: DataFrame) -> DataFrame:
@@ -172,21 +220,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
     copies = cut(digest.join(first, "digest").filter("doc_id > least").select("bucket", F.col("doc_id").alias("copy"), F.col("row").alias("copy_row")), "copies")
 
-    # Phrases that occur in two documents, and the shards where they do.
-    placed = cut(_phrases(rows, window, phrase).groupBy("fp", "bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "phrases")
-    recurring = placed.groupBy("fp").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("fp")
-    route = placed.join(recurring, "fp", "left_semi").select("bucket", "fp", F.lit(None).cast("long").alias("copy"), F.lit(None).cast("long").alias("copy_row"))
-    route = route.unionByName(copies.select("bucket", F.lit(None).cast("long").alias("fp"), "copy", "copy_row"))
+    # Phrases that two documents hold, word for word, and the buckets that are to be searched for them.
+    with small_batches(docs.sparkSession):
+        placed = cut(_phrases(rows, window, phrase).groupBy("phrase", "bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "phrases")
+    recurring = placed.groupBy("phrase").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("phrase")
+    none = F.lit(None)
+    route = placed.select("phrase", "bucket").join(recurring, "phrase", "left_semi").select("bucket", "phrase", none.cast("long").alias("copy"), none.cast("long").alias("copy_row"))
+    route = cut(route.unionByName(copies.select("bucket", none.cast("binary").alias("phrase"), "copy", "copy_row")), "route")
+    discard(placed)
 
     # Segments of smaller documents that recur whole; where a segment stands first, its windows are
     # looked at one by one, as each may stand in a smaller document among other words.
-    route = cut(route, "route")
-    discard(placed)
-    found = cut(_segments(rows.select("bucket", "doc_id", "row", "text"), route, window, phrase), "segments")
+    with small_batches(docs.sparkSession):
+        found = cut(_segments(rows.select("bucket", "doc_id", "row", "text"), route, window, phrase), "segments")
     discard(route)
     known = found.join(found.groupBy("s1", "s2").agg(F.min("doc_id").alias("least")), ["s1", "s2"])
     whole = cut(known.filter("doc_id > least").select("doc_id", "row", F.flatten(F.transform("firsts", lambda f: F.sequence(f, f + F.col("n") - 1))).alias("pos")), "whole")
-    single = cut(_windows(known.filter("doc_id = least")), "windows")
+    with small_batches(docs.sparkSession, 2000):
+        single = cut(_windows(known.filter("doc_id = least")), "windows")
     discard(found)
     least = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     repeats = single.join(least, ["h1", "h2"]).filter("doc_id > least").select("doc_id", "row", "pos").unionByName(whole)
