@@ -15,8 +15,8 @@ from quarry.llm.components import components
 
 #: Minima in a band, and how likely a pair at the threshold may share no band.
 ROWS, MISS = 5, 2.5e-7
-#: Rows of a block of one bucket; ids that are sent to all executors if no more than this many.
-BLOCK, SENT = 256, 500_000
+#: Rows of a block of one bucket; ids, and sketches, that are sent to all executors if no more than this many.
+BLOCK, SENT, SKETCHED = 256, 500_000, 100_000
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -82,19 +82,24 @@ def _signed(rows: DataFrame, k: int, bands: int) -> DataFrame:
                 ["doc_id", "row", "n_shingles", "same", "bands", "sketch"],
             )
 
-    return rows.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"), "text").mapInArrow(run, "doc_id long, row long, n_shingles long, same binary, bands array<long>, sketch binary")
+    return rows.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n_shingles long, same binary, bands array<long>, sketch binary")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """(rep, set) of rows (rep, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for i in range(0, len(texts), 500):
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 500], pa.array([shingle_set(x, k).tobytes() for x in texts[i : i + 500]], pa.binary())], ["rep", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x, k).tobytes() for x in as_bytes(b.column(1))], pa.binary())], ["rep", "set"])
 
     return rows.mapInArrow(run, "rep long, set binary")
 
 
+def _few(df: DataFrame, n: int, most: int) -> DataFrame:
+    """df, to be sent to all executors if its n rows are no more than most."""
+    return F.broadcast(df) if n <= most else df
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, bands: int) -> DataFrame:
     """Those of pairs (a, b) that are links: first by signature, then on full sets.
 
@@ -126,10 +131,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent:
 
 
 def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links between the left rows of a block and its other rows of other components.
+    """Links (a, b) between the components of a block's left rows and those of its other rows.
 
-    One link for each left row and component is enough for the components. The sets of a block
-    are compared all at once, as a product of 0/1 matrices over the shingles that occur twice.
+    The sets of a block are compared all at once, as a product of 0/1 matrices over the
+    shingles that occur twice.
     """
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -156,10 +161,8 @@ def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
         ok = linked(c, n[is_left][:, None], n[None, :], percent)
         comp = np.array([r[2] for r in rows], np.int64)
         ok &= comp[is_left][:, None] != comp[None, :]
-        found = {}
-        for i, j in zip(*np.nonzero(ok)):
-            found.setdefault((left[i][1], comp[j]), (left[i][1], rows[j][1]))
-        return list(found.values())
+        mine = comp[is_left]
+        return list({(int(mine[i]), int(comp[j])) for i, j in zip(*np.nonzero(ok))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -182,96 +185,116 @@ def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.repartition(*order).sortWithinPartitions(*order).select(*order, "left", "rep", "comp", "set").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; with_row: and row, its text's hash.
+def _told(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, n_shingles, home): home is (doc_id, row) of the first document that links reach, null without one.
 
-    Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word
-    shingles; component_id is the smallest id that links reach. Equal sets are one class before
-    anything is compared. Each class goes to one bucket a band; it is compared with its bucket's
-    smallest member, and the components of those links are built. In a bucket that still holds
-    several components, the members outside the largest one are compared with all others, in
-    blocks of bounded size, so that no link between different texts is lost. What remains is a
-    chance of MISS that a pair exactly at the threshold shares no band.
-
-    Texts without words (null, empty, white space) have an empty set, link with nothing and are
-    kept. A null id links with nothing, has a null component and is kept. Rows that repeat an id
-    count as texts of their own. An empty table gives no rows; other columns are not looked at.
+    row is a hash of the text. The nodes of all links are classes of equal sets, each with a
+    number of its own, so that ids may repeat.
     """
-    bands = bands_for(percent)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(_signed(rows, k, bands), "signed")
+    spark, bands = docs.sparkSession, bands_for(percent)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("row"), F.col(text_col).alias("text"))
+    with small_batches(spark):
+        signed = cut(_signed(rows, k, bands), "signed")
     with_set = signed.filter("doc_id is not null and same is not null")
-    classes = with_set.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s"))
-    reps = cut(classes.select("same", "rep", "s.bands", "s.sketch"), "classes")
+    classes = with_set.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.max(F.struct("doc_id", "row")).alias("last"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    # The table that is written fixes the numbers.
+    reps = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "same", "first", (F.col("first") != F.col("last")).alias("many"), "bands", "sketch"), "classes")
 
     # Buckets with more than one class.
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last").drop("last")
     members = cut(keyed.join(shared, "key"), "members")
-    wanted = members.select("rep").distinct()
+    wanted = cut(members.select("rep").distinct(), "wanted")
     n_wanted = wanted.count()
-    wanted = F.broadcast(wanted) if n_wanted <= SENT else wanted
-    some = rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = cut(_sets(some, k).dropDuplicates(["rep", "set"]) if n_wanted > SENT else _sets(some, k), "sets")
-    sketches = reps.join(wanted, "rep", "left_semi").select("rep", "sketch")
-
-    # Links with each bucket's smallest member, and their components.
+    holders = reps.join(_few(wanted, n_wanted, SENT), "rep", "left_semi").select("rep", "first.doc_id", "first.row", "sketch")
+    texts = rows.join(_few(holders.drop("sketch"), n_wanted, SENT), ["doc_id", "row"]).select("rep", "text")
+    with small_batches(spark):
+        sets = cut(_sets(texts, k), "sets")
+    if sets.count() > n_wanted:  # a row that stands in the table several times
+        sets = cut(sets.dropDuplicates(["rep"]), "sets")
+
+    # Links with each bucket's first class, and their components.
     stars = members.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    with small_batches(docs.sparkSession):  # a set may be as large as a text
-        links = cut(_confirmed(stars, sets, sketches, percent, bands), "links")
-    comp = components(links)
+    with small_batches(spark):  # a set may be as large as a text
+        links = cut(_confirmed(stars, sets, _few(holders.select("rep", "sketch"), n_wanted, SKETCHED), percent, bands), "links")
+    comp = cut(components(links).toDF("rep", "comp"), "components")
+    n_comp = comp.count()
 
     # Buckets that hold several components. One whose members all share an earlier band is left to that band's.
-    placed = members.join(comp.toDF("rep", "comp"), "rep", "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
+    placed = members.select("key", "band", "rep").join(_few(comp, n_comp, SENT), "rep", "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
     open_rows = cut(placed.join(split, "key", "left_semi"), "open")
-    with_bands = open_rows.join(reps.select("rep", "bands"), "rep")
+    n_open = open_rows.count()
+    merged = components(_between(open_rows, n_open, reps, sets, bands, percent)).toDF("comp", "top") if n_open else None
+
+    linked = reps.select("rep", "same", "first", "many").join(_few(comp, n_comp, SENT), "rep", "left")
+    told = linked.select("same", "first", "many", "comp", F.coalesce("comp", "rep").alias("c"))
+    if merged is not None:
+        told = told.join(_few(merged.toDF("c", "top"), merged.count(), SENT), "c", "left").select("same", "first", "many", F.coalesce("comp", "top").alias("comp"), F.coalesce("top", "c").alias("c"))
+    least = told.filter("comp is not null").groupBy("c").agg(F.min("first").alias("least"))
+    homes = told.filter("comp is not null or many").join(least, "c", "left").select("same", F.coalesce("least", "first").alias("home"))
+    homes = cut(homes, "homes")  # of classes that aren't one document alone
+    out = signed.select("doc_id", "row", "n_shingles", "same").join(_few(homes, homes.count(), SENT), "same", "left")
+    own = F.when(F.col("doc_id").isNotNull() & F.col("same").isNotNull(), F.struct("doc_id", "row"))
+    return out.select("doc_id", "row", "n_shingles", F.when(own.isNotNull(), F.coalesce("home", own)).alias("home"))
+
+
+def _between(open_rows: DataFrame, n_open: int, reps: DataFrame, sets: DataFrame, bands: int, percent: int) -> DataFrame:
+    """Links between the components of buckets that hold several: members outside a bucket's largest are compared with all others, in blocks."""
+    with_bands = reps.select("rep", "bands").join(_few(open_rows, n_open, SENT), "rep")
     sums = [f(F.col("bands")[i]).alias(f"{n}{i}") for i in range(bands) for f, n in ((F.min, "x"), (F.max, "y"))]
     earlier = " or ".join(f"(band > {i} and x{i} = y{i})" for i in range(bands))
-    buckets = with_bands.groupBy("key").agg(F.first("band").alias("band"), F.count("*").alias("m"), *sums).filter(f"not ({earlier})").select("key", "m")
-    largest = (
-        open_rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("c"))
-    )
-    plan = buckets.join(largest, "key").select("key", "top", F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int").alias("nl"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"))
-    todo = open_rows.join(plan, "key").withColumn("left", F.col("comp") != F.col("top"))
+    buckets = with_bands.groupBy("key").agg(F.min("band").alias("band"), F.count("*").alias("m"), *sums).filter(f"not ({earlier})").select("key", "m")
+    largest = open_rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("t"))
+    plan = buckets.join(largest, "key").select("key", F.col("t.comp").alias("top"), F.ceil((F.col("m") - F.col("t.c")) / BLOCK).cast("int").alias("nl"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"))
+    todo = open_rows.join(_few(plan, n_open, SENT), "key").withColumn("left", F.col("comp") != F.col("top"))
     place = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     as_left = todo.filter("left").select("key", place("nl", 1).alias("l"), each("nm").alias("m"), F.lit(True).alias("left"), "rep", "comp")
     as_other = todo.select("key", each("nl").alias("l"), place("nm", 2).alias("m"), F.lit(False).alias("left"), "rep", "comp")
-    blocks = as_left.unionByName(as_other).join(sets, "rep")
-    with small_batches(docs.sparkSession):
-        more = cut(_block_links(blocks, percent), "more")
+    blocks = cut(as_left.unionByName(as_other), "blocks").join(sets, "rep")
+    with small_batches(sets.sparkSession):
+        return cut(_block_links(blocks, percent), "more")
 
-    final = components(comp.select("node", "component").union(more))
-    homes = reps.select("same", "rep").join(final.toDF("rep", "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "row", "n_shingles", "same").join(homes, "same", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", *["row"] * with_row, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word
+    shingles; component_id is the smallest id that links reach. Equal sets are one class before
+    anything is compared. Each class goes to one bucket a band; it is compared with its bucket's
+    first class, and the components of those links are built. In a bucket that still holds
+    several components, the members outside the largest one are compared with all others, in
+    blocks of bounded size, so that no link between different texts is lost. What remains is a
+    chance of MISS that a pair exactly at the threshold shares no band.
+
+    Texts without words (null, empty, white space) have an empty set, link with nothing and are
+    kept. A null id links with nothing, has a null component and is kept. Rows that repeat an id
+    count as texts of their own: unlinked ones stay apart, under the same component_id. An empty
+    table gives no rows; other columns are not looked at.
+    """
+    told = _told(docs, k, percent, id_col, text_col)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("home.doc_id", "doc_id"))
+    return told.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, of which one stays for each group of near-duplicates.
 
-    The document of the smallest id stays; of rows that repeat it, one. Rows without an id or
-    without words all stay.
+    The document of the smallest id stays; of several with that id the one whose text's hash is
+    least, and of rows that repeat both, one. Rows without an id or without words all stay.
     """
-    told = near_duplicates(docs, k, percent, id_col, text_col, with_row=True)
-    found = cut(told, "told")
-    names = ["_id", "_row", "_component"]
+    told = cut(_told(docs, k, percent, id_col, text_col), "told").filter("home is not null")
+    names = ["_id", "_row"]
     while set(names) & set(docs.columns):
         names = [f"{x}_" for x in names]
     keyed = docs.withColumn(names[0], F.col(id_col).cast("long")).withColumn(names[1], F.coalesce(F.xxhash64(text_col), F.lit(0)))
-    known = found.filter("doc_id is not null and n_shingles > 0")
-    gone = known.filter("not kept").select("doc_id", "row").distinct().toDF(*names[:2])
-    few = known.filter("not kept").count() <= SENT
-    left = keyed.join(F.broadcast(gone) if few else gone, names[:2], "left_anti")
-    again = known.filter("kept").groupBy("doc_id", "component_id").count().filter("count > 1").select("doc_id").distinct()
-    if again.isEmpty():
+    stays = F.struct("doc_id", "row") == F.col("home")
+    gone = cut(told.filter(~stays).select("doc_id", "row").distinct().toDF(*names), "gone")
+    left = keyed.join(_few(gone, gone.count(), SENT), names, "left_anti")
+    again = cut(told.filter(stays).groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row").toDF(*names), "again")
+    n_again = again.count()
+    if not n_again:
         return left.select(*docs.columns)
-    again = cut(again.toDF(names[0]), "again")  # ids that several rows have: one row for each of their components
-    homes = known.filter("kept").select("doc_id", "row", "component_id").distinct().toDF(*names)
-    one = left.join(again, names[0], "left_semi").join(homes, names[:2], "left")
-    alone = one.filter(F.col(names[2]).isNull()).select(*docs.columns)
-    first = one.filter(F.col(names[2]).isNotNull()).dropDuplicates([names[0], names[2]]).select(*docs.columns)
-    rest = keyed.join(F.broadcast(gone) if few else gone, names[:2], "left_anti").join(again, names[0], "left_anti")
-    return rest.select(*docs.columns).unionByName(alone).unionByName(first)
+    one = left.join(_few(again, n_again, SENT), names, "left_semi").dropDuplicates(names)
+    return left.join(_few(again, n_again, SENT), names, "left_anti").unionByName(one).select(*docs.columns)

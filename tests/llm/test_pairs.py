@@ -96,6 +96,16 @@ def test_near_odd_rows(spark):
     assert minhash.near_duplicates(df.limit(0), 3, 85).count() == 0
 
 
+def test_near_repeated_ids(spark):
+    """Texts that share an id are nodes of their own: links of one don't reach the other, and no text is lost."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(3, a), (5, a + " x"), (5, b), (9, b + " y"), (5, b), (12, "c d e f"), (12, "g h i j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, minhash.near_duplicates(df, 3, 85).select("doc_id", "component_id", "kept").collect()))
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (9, 5, False), (12, 12, True), (12, 12, True)])
+    assert sorted(map(tuple, minhash.deduplicated(df, 3, 85).collect())) == sorted([rows[0], rows[2], rows[5], rows[6]])
+
+
 # op10
 
 
