@@ -229,7 +229,10 @@ on_documents("bool_empty", N.Boolean(), "select doc_id, 0.0::double as score fro
 on_documents("bool_nested", "+(thing der) -la", simple_sql(["thing", "der", "la"], f"{w(0)} + {w(1)}", "(tf0 > 0 or tf1 > 0) and tf2 = 0"))
 on_documents("ql_and_or", "the AND of OR der AND die", simple_sql(["the", "of", "der", "die"], f"case when tf0 > 0 and tf1 > 0 then {w(0)} + {w(1)} else 0 end + case when tf2 > 0 and tf3 > 0 then {w(2)} + {w(3)} else 0 end", "(tf0 > 0 and tf1 > 0) or (tf2 > 0 and tf3 > 0)"))
 on_documents("ql_free_text", "the of?! (thing", simple_sql(["the", "of", "thing"], f"{w(0)} + {w(1)} + {w(2)}", "tf0 > 0 or tf1 > 0 or tf2 > 0"))
-on_documents("ql_phrase_and_term", '+"of the" +thing', None)
+on_documents(
+    "ql_phrase_and_term", '+"of the" +thing',
+    doc_sql(["of", "the", "thing"], top(f"select doc_id, {weight('pf', '(idf0 + idf1)')} + {w(2)} as score from (select *, len(list_filter(range(len(t)), lambda i: t[i + 1] = 'of' and t[i + 2] = 'the')) as pf from tok) x, stats where pf > 0 and tf2 > 0")),
+)
 on_documents("must_filter_with_should", N.Boolean(must=(N.Range("n_chars", 500, 3000),), should=(T("thing"),)), simple_sql(["thing"], w(0), "n_chars between 500 and 3000"))
 on_documents("must_filter_alone", N.Boolean(must=(N.Range("n_chars", 500, 3000), N.Prefix("text", "thi"))), doc_sql([], top("select doc_id, 2.0::double as score from tok where n_chars between 500 and 3000 and len(list_filter(t, lambda x: starts_with(x, 'thi'))) > 0", None)), None)
 on_documents("filtered_match", N.Filtered(N.Match("text", "and of"), (N.Range("n_chars", 100, 2000), N.Term("lang", "en"))), simple_sql(["and", "of"], f"{w(0)} + {w(1)}", "(tf0 > 0 or tf1 > 0) and n_chars between 100 and 2000 and lang = 'en'"))
@@ -312,13 +315,23 @@ def proximity_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Chunks
 
-CHUNKS = f"""with docs as (select doc_id, list_filter(string_split(text, chr(10)), lambda c: c <> '') as chunks from documents),
+def chunk_sql(words: list[str]) -> str:
+    """tok (doc_id, ordinal, t, l, tf0..) of chunks, and stats (avgl, floor, idf0..)."""
+    tf = "".join(f", len(list_filter(t, lambda x: x = {_quoted(x)})) as tf{i}" for i, x in enumerate(words))
+    idf = ", ".join(f"ln((count(*) - count_if(tf{i} > 0) + 0.5) / (count_if(tf{i} > 0) + 0.5) + 1) as idf{i}" for i in range(len(words)))
+    return f"""with docs as (select doc_id, list_filter(string_split(text, chr(10)), lambda c: c <> '') as chunks from documents),
     chunk as (select doc_id, unnest(range(len(chunks))) as ordinal, unnest(chunks) as c from docs),
     tok0 as (select doc_id, ordinal, {TOKENS.format('c')} as t from chunk),
-    tok as (select *, len(t) as l, len(list_filter(t, lambda x: x = 'thing')) as tf0, len(list_filter(t, lambda x: x = 'of')) as tf1 from tok0),
-    stats as (select greatest(sum(l) / count(*), 1.0) as avgl, quantile_disc(l, 0.9) as floor,
-        ln((count(*) - count_if(tf0 > 0) + 0.5) / (count_if(tf0 > 0) + 0.5) + 1) as idf0, ln((count(*) - count_if(tf1 > 0) + 0.5) / (count_if(tf1 > 0) + 0.5) + 1) as idf1 from tok),
-    hit as (select doc_id, ordinal, {weight('tf0', 'idf0', 'greatest(l, floor)')} + {weight('tf1', 'idf1', 'greatest(l, floor)')} as s from tok, stats where tf0 > 0 or tf1 > 0) """
+    tok as (select *, len(t) as l{tf} from tok0),
+    stats as (select greatest(sum(l) / count(*), 1.0) as avgl, quantile_disc(l, 0.9) as floor, {idf} from tok)"""
+
+
+def cw(i: int) -> str:
+    return weight(f"tf{i}", f"idf{i}", "greatest(l, floor)")
+
+
+CHUNKS = chunk_sql(["thing", "of"]) + f""",
+    hit as (select doc_id, ordinal, {cw(0)} + {cw(1)} as s from tok, stats where tf0 > 0 or tf1 > 0) """
 
 
 @query("chunked_maxp", CHUNKS + "select doc_id, round(max(s), 6) as score from hit group by doc_id order by 2 desc, 1 limit 10")
@@ -359,7 +372,8 @@ def ordinal_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(near, "\n").alias("passage"))
 
 
-@query("phrase_in_chunk", None)
+@query("phrase_in_chunk", chunk_sql(["of", "the"]) + f""", hit as (select doc_id, {weight('pf', '(idf0 + idf1)', 'greatest(l, floor)')} as s
+    from (select *, len(list_filter(range(len(t)), lambda i: t[i + 1] = 'of' and t[i + 2] = 'the')) as pf from tok) x, stats where pf > 0) select doc_id, round(max(s), 6) as score from hit group by doc_id""")
 def phrase_in_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase doesn't cross the end of a chunk."""
     return every(planner.hits(documents(spark, sf_dir), N.Phrase("chunks", "of the")))

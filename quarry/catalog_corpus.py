@@ -89,16 +89,18 @@ def corpus_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.budgeted(rows, "record_key", "n_tokens", 20000, 25000)
 
 
-@query("corpus_shards", f"""with recursive {COUNTED}, num as (select record_key, n_tokens, row_number() over (order by record_key) as i from cnt),
-    s(i, record_key, n_tokens, shard, total) as (select i, record_key, n_tokens, 0::bigint, n_tokens::bigint from num where i = 1
-        union all select n.i, n.record_key, n.n_tokens, s.shard + (s.total > 0 and s.total + n.n_tokens > 10000)::int, case when s.total > 0 and s.total + n.n_tokens > 10000 then n.n_tokens else s.total + n.n_tokens end from s join num n on n.i = s.i + 1)
-    select shard, count(*) as records, sum(n_tokens) as tokens from s group by shard""")
+_SHARDS = f"""with recursive {COUNTED}, num as (select record_key, text, n_tokens, row_number() over (order by record_key) as i from cnt),
+    s(i, record_key, text, n_tokens, shard, total) as (select i, record_key, text, n_tokens, 0::bigint, n_tokens::bigint from num where i = 1
+        union all select n.i, n.record_key, n.text, n.n_tokens, s.shard + (s.total > 0 and s.total + n.n_tokens > 10000)::int, case when s.total > 0 and s.total + n.n_tokens > 10000 then n.n_tokens else s.total + n.n_tokens end from s join num n on n.i = s.i + 1) """
+
+
+@query("corpus_shards", _SHARDS + "select shard, count(*) as records, sum(n_tokens) as tokens from s group by shard")
 def corpus_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = counted(unique(spark, sf_dir)).select("record_key", "n_tokens")
     return corpus.sharded(rows, "record_key", "n_tokens", 10000).groupBy("shard").agg(F.count("*").alias("records"), F.sum("n_tokens").alias("tokens"))
 
 
-@query("corpus_manifest", None)
+@query("corpus_manifest", _SHARDS + "select shard, count(*) as records, sum(n_tokens) as tokens, sha256(string_agg(sha256(text), '' order by record_key)) as sha256 from s group by shard")
 def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = counted(unique(spark, sf_dir)).select("record_key", "text", "n_tokens")
     cut = corpus.sharded(rows, "record_key", "n_tokens", 10000)
@@ -126,10 +128,12 @@ def supervised_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("term_stats", f"""with d as (select doc_id, {WORDS.format('lower(text)')} as t from documents), tf as (select doc_id, x as term, count(*) as tf from (select doc_id, unnest(t) as x from d) group by all),
     n as (select count(*) as n from documents)
-    select 'text' as field, term, count(*) as df, sum(tf) as total_tf, max(tf) as max_tf, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from tf, n group by term having count(*) >= 3""")
+    select 'text' as field, term, count(*) as df, sum(tf) as total_tf, max(tf) as max_tf, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf,
+        round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) * max(tf) * 2.2 / (max(tf) + 1.2 * 0.25), 6) as upper_bound, round((select sum(tf) from tf) / any_value(n), 6) as avg_doc_len
+    from tf, n group by term having count(*) >= 3""")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = tools.term_stats(table(spark, sf_dir, "documents"), ["text"], 3)
-    return got.select("field", "term", "df", "total_tf", "max_tf", F.round("idf", DIGITS).alias("idf"))
+    return got.select("field", "term", "df", "total_tf", "max_tf", *[F.round(c, DIGITS).alias(c) for c in ("idf", "upper_bound", "avg_doc_len")])
 
 
 @query("simhash32", None)
@@ -142,10 +146,11 @@ def sort_numeric_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.sorted_by(table(spark, sf_dir, "orders"), "o_totalprice", True, True, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
-_FNV = "list_reduce(list_transform(string_split(cast(o_orderkey as varchar), ''), lambda c: ascii(c)::hugeint), lambda h, c: (xor(h::uhugeint, c::uhugeint)::hugeint * 1099511628211) % 18446744073709551616, 14695981039346656037::hugeint)"
+# FNV-1a: the low byte is xored, then a product modulo 2**64.
+_FNV = "list_reduce(list_transform(string_split(cast(o_orderkey as varchar), ''), lambda c: ascii(c)::hugeint), lambda h, c: ((h - h % 256 + xor((h % 256)::int, c::int)) * 1099511628211) % 18446744073709551616, 14695981039346656037::hugeint)"
 
 
-@query("fnv_partition_counts", None)
+@query("fnv_partition_counts", f"with h as (select {_FNV} % 4 as h from orders) select (case when h < 1 then 0 when h < 3 then 1 else 2 end)::int as slot, count(*) as n from h group by 1")
 def fnv_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(tools.partition_of(F.col("o_orderkey"), [2, 4, 2]).alias("slot"))
     return orders.groupBy("slot").agg(F.count("*").alias("n"))

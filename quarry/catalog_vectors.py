@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.catalog import DIGITS, best, doc_sql, documents, every, query, table, w
+from quarry.catalog import DIGITS, best, chunk_sql, cw, doc_sql, documents, every, query, table, w
 from quarry.functions import scoring
 from quarry.functions.scoring import Combiner
 from quarry.operators import ranking
@@ -214,14 +214,23 @@ def l1_without_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(ranking.formula_rank(documents(spark, sf_dir), FUSION, "a + 0.5 * b", None, False, DIGITS))
 
 
-@query("rrf_chunk", None)
+@query("rrf_chunk", chunk_sql(["thing", "of", "and", "the"]) + f""", branch as (
+        select 0 as b, doc_id, ordinal, round({cw(0)} + {cw(1)}, 6) as s from tok, stats where tf0 > 0 or tf1 > 0
+        union all select 1, doc_id, ordinal, round({cw(2)} + {cw(3)}, 6) from tok, stats where tf2 > 0 or tf3 > 0),
+    lists as (select *, row_number() over (partition by b order by s desc, doc_id, ordinal) as r from branch qualify r <= 200),
+    passage as (select doc_id, ordinal, sum(1.0 / (60 + r)) as vote from lists group by all)
+    select doc_id, round(max(vote), 6) as score from passage group by doc_id order by 2 desc, 1 limit 10""")
 def rrf_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of two branches, fused by ordinal; a document takes its best passage."""
     branches = (N.Branch(N.Match("chunks", "thing of"), 1.0, scope="chunk"), N.Branch(N.Match("chunks", "and the"), 1.0, scope="chunk"))
     return best(ranking.fuse(documents(spark, sf_dir), N.Fusion(branches, depth=200, combiner=Combiner("max")), DIGITS))
 
 
-@query("hybrid_dict_request", None)
+@query("hybrid_dict_request", f"""with a as (select vec_id, row_number() over (order by s desc, vec_id) as r from (select vec_id, {COSINE} as s from embeddings) qualify r <= 100),
+    b as (select vec_id, row_number() over (order by s desc, vec_id) as r from (select vec_id, {HAMMING} as s from {CODES}) qualify r <= 100),
+    fused as (select vec_id, sum(vote) as vote from (select vec_id, 1.0::double / (60.0::double + r) as vote from a union all select vec_id, 0.5::double / (60.0::double + r) from b) group by vec_id),
+    first as (select vec_id from fused order by vote desc, vec_id limit 50)
+    select vec_id, round({COSINE}, 6) as score from embeddings join first using (vec_id) order by {COSINE} desc, vec_id limit 10""")
 def hybrid_dict_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fusion of a vector and a code branch, as a structured request, with a reranker."""
     from quarry.engine import Engine

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, functions as F, types as T
 
 from quarry.functions.stemmer import porter2
@@ -64,6 +66,18 @@ def from_function(tokens: Callable[[str], list[str | None]]) -> Analyzer:
     return Analyzer(column, tokens)
 
 
+def stemmed(base: Analyzer, stem: Callable[[str], str]) -> Analyzer:
+    """The base's tokens, stemmed: the column's in Arrow batches, each distinct token of a batch once."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def column(lists: pa.Array) -> pa.Array:
+        coded = lists.flatten().dictionary_encode()
+        stems = pa.array([None if t is None else stem(t) for t in coded.dictionary.to_pylist()], pa.string())
+        return pa.ListArray.from_arrays(pa.compute.subtract(lists.offsets, lists.offsets[0]), stems.take(coded.indices), mask=lists.is_null() if lists.null_count else None)
+
+    return Analyzer(lambda text: column(base.column(text)), lambda text: [t if t is None else stem(t) for t in base.local(text)])
+
+
 _WORDS = re.compile(r"[^\W_](?:[^\W_]|[̀-ͯ]|[.,'’:](?=[^\W_]))*")
 
 
@@ -80,7 +94,9 @@ def unicode_words(text: str, longest: int = 255) -> list[str | None]:
     return out
 
 
-_CLITICS = ("'s", "'t", "'re", "'ve", "'ll", "'d", "'m")
+# What is dropped after and before an apostrophe, beside heads of one or two letters.
+_CLITICS = {"s", "t", "re", "ve", "ll", "d", "m"}
+_ELIDED = {"qu", "lorsqu", "jusqu", "puisqu", "quoiqu", "dell", "nell", "sull", "dall", "all", "coll", "degl", "dagl", "negl", "sugl", "quest", "quell", "sant", "anch"}
 _LEX = re.compile(r"(?:[^\W_]\.){2,}(?:[^\W_]\b)?|\d+(?:[.,]\d+)*|[^\W_](?:[^\W_]|[̀-ͯ]|['](?=[^\W_]))*")
 _INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
@@ -89,9 +105,9 @@ def lex_words(text: str, fold: bool = False, longest: int = 64, stem: Callable[[
     """Search words of mixed text: compatibility forms unified, lower case.
 
     Anything but letters, digits and marks ends a word. Dotted acronyms are joined, a dot
-    between digits stays and a comma there goes; an English clitic at the end and an elided
-    article of one or two letters at the start are dropped. Stop words and words longer than
-    ``longest`` leave a gap.
+    between digits stays and a comma there goes. Parts around apostrophes are words of their
+    own, without an English clitic at the end and elided articles at the start. Stop words and
+    words longer than ``longest`` leave a gap.
     """
     plain = unicodedata.normalize("NFKC", text).translate(_INVISIBLE).replace("’", "'").lower()
     out: list[str | None] = []
@@ -101,16 +117,18 @@ def lex_words(text: str, fold: bool = False, longest: int = 64, stem: Callable[[
             w = w.replace(",", "")
         elif "." in w:
             w = w.replace(".", "")
-        else:
-            w = next((w[: -len(c)] for c in _CLITICS if w.endswith(c) and len(w) > len(c)), w)
-            head, mark, tail = w.partition("'")
-            w = tail if mark and len(head) <= 2 and tail else w.replace("'", "")
-        if fold:
-            w = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
-        if w in stop or len(w) > longest:
-            out.append(None)
-        elif w:
-            out.append(stem(w) if stem else w)
+        parts = w.split("'")
+        if len(parts) > 1 and parts[-1] in _CLITICS:
+            parts.pop()
+        while len(parts) > 1 and (len(parts[0]) <= 2 or parts[0] in _ELIDED):
+            parts.pop(0)
+        for w in parts:
+            if fold:
+                w = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+            if w in stop or len(w) > longest:
+                out.append(None)
+            elif w:
+                out.append(stem(w) if stem else w)
     return out
 
 
@@ -135,9 +153,9 @@ def analyzer(spec: str) -> Analyzer:
     name = name.strip()
     if name == "lex":
         options = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in inside.rstrip(") ").split(",")) if k.strip()}
-        known = {"fold", "max_token_length", "stem", "stop_words", "by", "default", "segmenter", "variants", "han", "cjk"}
-        if set(options) - known:
-            raise ValueError(f"unknown option of lex: {sorted(set(options) - known)}")
+        known = {"fold", "max_token_length", "stem", "stop_words", "segmenter", "variants"}
+        if set(options) - known or options.get("segmenter", "simple") != "simple" or options.get("variants", "false") != "false":
+            raise ValueError(f"lex takes {', '.join(sorted(known))}, with segmenter simple and variants false; not {inside.rstrip(') ')}")
         fold, longest = options.get("fold") == "true", int(options.get("max_token_length", 64))
         stem, stop = porter2 if options.get("stem") in ("snowball", "en") else None, frozenset(options.get("stop_words", "").split())
         return from_function(lambda text: lex_words(text, fold, longest, stem, stop))
@@ -152,4 +170,4 @@ register("default", SIMPLE)
 register("raw", _raw(False))
 register("raw_ci", _raw(True))
 register("unicode_word", from_function(unicode_words))
-register("en_stem", from_function(lambda text: [porter2(t) for t in _simple_local(text)]))
+register("en_stem", stemmed(SIMPLE, porter2))

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.operators.written import materialised
+
 
 def normalised(text: Column, blank_lines: int = 2, least: int = 1) -> Column:
     """Canonical line ends and spaces, trimmed; null where the text is broken or too short.
@@ -28,16 +30,19 @@ def normalised(text: Column, blank_lines: int = 2, least: int = 1) -> Column:
 
 
 def deduplicated(records: DataFrame, key: str = "record_key", text: str = "text") -> DataFrame:
-    """One record for each text and key: the first by key stays.
+    """One record for each text and key: the first by key stays. Null texts count as one text.
 
-    Texts are told by their digest; a task keeps the least key of a digest before anything is
-    shuffled, so that a text of any number of copies is no burden.
+    Keys and digests alone tell which, summed up in the tasks before they are shuffled, so that a
+    text of any number of copies is no burden. Whole records are shuffled once, to be joined;
+    only those that repeat both key and text are then told apart.
     """
-    keyed = records.withColumn("__digest", F.sha2(text, 256))
-    by_key = keyed.groupBy(key).agg(F.min_by(F.struct(*[c for c in keyed.columns if c != key]), "__digest").alias("r"))
-    one = by_key.select(key, "r.*")
-    first = one.groupBy("__digest").agg(F.min(key).alias(key))
-    return one.join(first.select(key), key, "left_semi").select(*records.columns)
+    digest = F.coalesce(F.sha2(text, 256), F.lit(""))
+    counted = records.select(F.col(key).alias("__key"), digest.alias("__digest")).groupBy("__key", "__digest").agg(F.count("*").alias("__n"))
+    by_key = counted.groupBy("__key").agg(F.min(F.struct("__digest", "__n")).alias("x")).select("__key", "x.*")
+    first = by_key.groupBy("__digest").agg(F.min(F.struct("__key", "__n")).alias("x")).select("__digest", "x.*")
+    kept = records.withColumn("__key", F.col(key)).withColumn("__digest", digest).join(first, ["__key", "__digest"])
+    names = records.columns
+    return kept.filter("__n = 1").select(*names).unionByName(kept.filter("__n > 1").dropDuplicates(["__key"]).select(*names))
 
 
 def merged(found: DataFrame, key: str = "record_key") -> DataFrame:
@@ -113,13 +118,16 @@ def running(records: DataFrame, key: str, size: str, name: str = "before") -> Da
     """records with the sum of size over all smaller keys, by two passes of sums.
 
     Rows are dealt by ranges of the key; a running sum over the ranges' totals gives each its
-    start. So no task holds more than its range.
+    start. So no task holds more than its range. The dealt rows are written once, as both
+    passes must see the same ranges, which are drawn from samples.
     """
-    sort = records.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
-    totals = sort.groupBy("__part").agg(F.sum(size).alias("__size"))
+    names = ["__part", "__seq", "__size", "__start", "__within"]
+    dealt = records.repartitionByRange(key).sortWithinPartitions(key).withColumns({names[0]: F.spark_partition_id(), names[1]: F.monotonically_increasing_id()})
+    dealt = materialised(dealt, "running")
+    totals = dealt.groupBy("__part").agg(F.sum(size).alias("__size"))
     starts = totals.select("__part", (F.sum("__size").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__size")).alias("__start"))  # one row for each task
-    within = F.sum(size).over(Window.partitionBy("__part").orderBy(key)) - F.col(size)
-    return sort.join(starts, "__part").withColumn(name, F.col("__start") + within).drop("__part", "__start")
+    within = F.coalesce(F.sum(size).over(Window.partitionBy("__part").orderBy("__seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("__within", within).join(starts, "__part").withColumn(name, F.col("__start") + F.col("__within")).drop(*names)
 
 
 def budgeted(records: DataFrame, key: str, size: str, desired: int, maximum: int) -> DataFrame:

@@ -6,6 +6,8 @@ import functools
 import operator
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions import scoring
@@ -17,6 +19,8 @@ from quarry.plans.planner import Index, scored
 
 #: Candidates of all branches together, and rows that a whole list may have to be ranked.
 MOST_CANDIDATES = 200_000
+#: Rows and queries of a block in which retrieval metrics compare vectors.
+ROWS, ASKED = 8192, 512
 
 
 def top_k(hits: DataFrame, limit: int = 10, offset: int = 0, id_col: str = "doc_id", score: str = "score") -> DataFrame:
@@ -158,14 +162,41 @@ def relevance(vectors: DataFrame, queries: Column, id_col: str, vector_col: str,
     For each query the rank is that of its best relevant row; other rows that tie with it count
     against it. Gives n_queries, top1, mrr, recall@k for each k and ndcg@10.
     """
-    unit = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"), queries.alias("q"))
-    asked = unit.filter("q").select(F.col("id").alias("qid"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-    # A stated set of queries against all rows: the scores of a query are aggregated where they arise.
-    norm = lambda v: F.sqrt(scoring.dot(v, v))
-    score = F.round(scoring.dot(F.col("qv"), F.col("v")) / (norm(F.col("qv")) * norm(F.col("v"))), 6)
-    pairs = unit.drop("q").join(asked, F.col("id") != F.col("qid")).select("qid", (F.col("label") == F.col("ql")).alias("relevant"), score.alias("s"))
-    best = pairs.groupBy("qid").agg(F.max(F.when(F.col("relevant"), F.col("s"))).alias("best"))
-    rank = pairs.join(best, "qid").groupBy("qid").agg((F.count_if((~F.col("relevant")) & (F.col("s") >= F.col("best"))) + 1).alias("rank"), F.max("best").alias("best")).filter("best is not null")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("q")).filter("v is not null")
+    n, n_asked = rows.agg(F.count("*"), F.count_if("q")).first()
+    # A stated set of queries against all rows, a block of either at a time; what is kept of a block is a number for each query.
+    dealt = lambda c, size, total: F.pmod(F.xxhash64(c), F.lit(max(1, -(-total // size)))).cast("int")
+    each = lambda size, total: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-total // size)) - 1)))
+    against = rows.select("id", "label", "v", dealt("id", ROWS, n).alias("part"), each(ASKED, n_asked).alias("block"))
+    asked = rows.filter("q").select(F.col("id").alias("qid"), F.col("label").alias("ql"), F.col("v").alias("qv"), dealt("id", ASKED, n_asked).alias("block"))
+    kinds = {c: asked.schema[c].dataType.simpleString() for c in ("qid", "ql")}
+
+    def scores(v: pa.Table, q: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, rows): cosines, which rows are relevant, which are the query itself."""
+        x, y = (np.array(t[c].to_pylist(), float).reshape(len(t), -1) for t, c in ((q, "qv"), (v, "v")))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = (x @ y.T / (np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1)))).round(6)
+        same = lambda a, b: q[a].to_numpy(zero_copy_only=False)[:, None] == v[b].to_numpy(zero_copy_only=False)
+        return s, same("ql", "label"), same("qid", "id")
+
+    def best_of(v: pa.Table, q: pa.Table) -> pa.Table:
+        if not len(v) or not len(q):
+            return pa.table({"qid": q["qid"].slice(0, 0), "best": pa.array([], pa.float64())})
+        s, relevant, own = scores(v, q)
+        best = np.where(relevant & ~own, s, -np.inf).max(axis=1)
+        return pa.table({"qid": q["qid"], "best": pa.array(best)}).filter(pa.array(best > -np.inf))
+
+    def above(v: pa.Table, q: pa.Table) -> pa.Table:
+        if not len(v) or not len(q):
+            return pa.table({"qid": q["qid"].slice(0, 0), "above": pa.array([], pa.int64())})
+        s, relevant, own = scores(v, q)
+        return pa.table({"qid": q["qid"], "above": pa.array((~relevant & ~own & (s >= q["best"].to_numpy()[:, None])).sum(axis=1))})
+
+    def in_blocks(q: DataFrame, f, schema: str) -> DataFrame:
+        return against.groupBy("part", "block").cogroup(q.withColumn("part", each(ROWS, n)).groupBy("part", "block")).applyInArrow(f, schema)
+
+    best = in_blocks(asked, best_of, f"qid {kinds['qid']}, best double").groupBy("qid").agg(F.max("best").alias("best"))
+    rank = in_blocks(asked.join(best, "qid").select("qid", "ql", "qv", "block", "best"), above, f"qid {kinds['qid']}, above long").groupBy("qid").agg((F.sum("above") + 1).alias("rank"))
     hit = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0))
     return rank.agg(
         F.count("*").alias("n_queries"), hit(1).alias("top1"), F.avg(1 / F.col("rank")).alias("mrr"), *[hit(k).alias(f"recall_{k}") for k in ks],

@@ -67,23 +67,31 @@ def sorted_by(df: DataFrame, field: str, numeric: bool = False, reverse: bool =
 
 
 def term_stats(df: DataFrame, fields: Sequence[str], min_df: int = 1) -> DataFrame:
-    """(field, term, df, total_tf, max_tf, idf, upper_bound): idf is ln((N - df + 0.5) / (df + 0.5)), which may be negative.
+    """(field, term, df, total_tf, max_tf, idf, upper_bound, avg_doc_len): idf is ln((N - df + 0.5) / (df + 0.5)), which may be negative.
 
-    Terms are lower-case words between white space. Counts are summed within a document
-    first, so what is shuffled for a term is a row for each task.
+    Terms are lower-case words between white space. A document's words are counted within the
+    document, by sorting them, so what is shuffled for a term is a row for each task. upper_bound
+    is the score of the greatest tf in a document of no length; avg_doc_len is that of all
+    documents, over all fields.
     """
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), r"\p{IsWhite_Space}+"), lambda t: t != "")
-    rows = df.select(F.monotonically_increasing_id().alias("__row"), *[words(c).alias(c) for c in fields])
+    rows = df.select(*[words(c).alias(c) for c in fields])
     total = rows.agg(F.count("*").alias("n"), F.sum(reduce(lambda a, b: a + b, [F.size(c) for c in fields])).alias("t")).first()
     n, average = total["n"], (total["t"] or 0) / total["n"] if total["n"] else 0.0
-    each = reduce(DataFrame.unionByName, [rows.select("__row", F.lit(c).alias("field"), F.explode(c).alias("term")) for c in fields])
-    tf = each.groupBy("__row", "field", "term").agg(F.count("*").alias("tf"))
-    out = tf.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"), F.max("tf").alias("max_tf")).filter(F.col("df") >= min_df)
+
+    def counted(c: str) -> Column:
+        """(term, tf) of a document's words: where a sorted word is the first or the last of its kind tells its number."""
+        ends = lambda s: F.filter(F.transform(s, lambda w, i: F.when(~F.coalesce(F.get(s, i + 1) == w, F.lit(False)), F.struct(w.alias("term"), i.alias("at")))), lambda x: x.isNotNull())
+        tf = lambda e: F.transform(e, lambda x, i: F.struct(x["term"].alias("term"), (x["at"] - F.coalesce(F.get(e, i - 1)["at"], F.lit(-1))).alias("tf")))
+        sorted_once = F.transform(F.array(F.array_sort(F.col(c))), ends)
+        return F.transform(sorted_once, tf)[0]
+
+    each = reduce(DataFrame.unionByName, [rows.select(F.lit(c).alias("field"), F.inline(counted(c))) for c in fields])
+    out = each.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"), F.max("tf").alias("max_tf")).filter(F.col("df") >= min_df)
     idf = F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     m = F.col("max_tf").cast("double")
-    # A document's score is highest with the greatest tf in the shortest length, here the average's part of k1.
-    bound = idf * m * 2.2 / (m + F.lit(1.2 * (1 - 0.75 + 0.75 * (1.0 if average else 0.0))))
-    return out.select("field", "term", "df", "total_tf", "max_tf", idf.alias("idf"), bound.alias("upper_bound"))
+    bound = idf * m * 2.2 / (m + F.lit(1.2 * (1 - 0.75)))
+    return out.select("field", "term", "df", "total_tf", "max_tf", idf.alias("idf"), bound.alias("upper_bound"), F.lit(float(average)).alias("avg_doc_len"))
 
 
 def fnv1a64(data: bytes) -> int:

@@ -40,12 +40,12 @@ class Match(Node):
 
     field: str
     text: str
-    max_terms: int = 20
+    max_terms: int | None = None  # the field's, if not given
     proximity_weight: float = 0.0
     proximity_window: int = 8
 
     def __post_init__(self) -> None:
-        if not 1 <= self.max_terms <= 64:
+        if self.max_terms is not None and not 1 <= self.max_terms <= 64:
             raise QueryError("max_terms goes from 1 to 64")
 
 

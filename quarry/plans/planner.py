@@ -196,7 +196,7 @@ class Planner:
         tokens = [t for _, t in self.analysed(node.field, node.text)]
         counts = list(Counter(tokens).items())
         df = self.index.known[node.field].df if counts else {}
-        most = min(node.max_terms, self.schema[node.field].max_terms) if node.max_terms == 20 else node.max_terms
+        most = self.schema[node.field].max_terms if node.max_terms is None else node.max_terms
         if len(counts) > most:  # the rarest stay; those that no document has rank last
             rank = sorted(range(len(counts)), key=lambda i: (df.get(counts[i][0], 0) == 0, df.get(counts[i][0], 0), i))[:most]
             counts = [counts[i] for i in sorted(rank)]
@@ -234,12 +234,18 @@ class Planner:
         first, idf = tokens[0][0], sum(self.index.known[node.field].idf(t) for _, t in tokens)
 
         def frequency(c: Column) -> Column:
-            def starts(i: Column) -> Column:
-                near = lambda d, t: _any([F.get(c, i + (d + s)) == t for s in range(-node.slop, node.slop + 1)])
-                return F.coalesce(_all([F.get(c, i) == tokens[0][1]] + [near(p - first, t) for p, t in tokens[1:]]), F.lit(False))
+            """How often the phrase stands in the tokens c: c is bound once, so that no lambda computes it anew."""
 
-            holds = _all([F.array_contains(c, t) for t in dict.fromkeys(t for _, t in tokens)])
-            return F.when(holds, F.size(F.filter(F.sequence(F.lit(0), F.size(c) - 1), starts))).otherwise(F.lit(0))
+            def starts(body: Column, i: Column) -> Column:
+                near = lambda d, t: _any([F.get(body, i + (d + s)) == t for s in range(-node.slop, node.slop + 1)])
+                return F.coalesce(_all([near(p - first, t) for p, t in tokens[1:]]), F.lit(False))
+
+            def within(body: Column) -> Column:
+                places = F.filter(F.transform(body, lambda x, i: F.when(x == tokens[0][1], i)), lambda i: i.isNotNull())
+                return F.size(F.filter(places, lambda i: starts(body, i)))
+
+            holds = lambda body: _all([F.array_contains(body, t) for t in dict.fromkeys(t for _, t in tokens)])
+            return F.transform(F.array(c), lambda body: F.when(holds(body), within(body)).otherwise(F.lit(0)))[0]
 
         if f.chunked:
             score = lambda c: (lambda tf: F.when(tf > 0, self.weigh(node.field, tf, F.size(F.array_compact(c)), idf)))(frequency(c))

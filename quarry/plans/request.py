@@ -18,6 +18,21 @@ MOST_TEXT, MOST_NAME, MOST_DIMS, MOST_ENTRIES, MOST_CODE, MOST_FIELDS = 65_536,
 _EFFORT = {"heap_factor": (0.0, 1.0), "time_budget_ms": (0, math.inf), "lsp_gamma": (0, math.inf), "nprobe": (1, 65_536), "seismic_cut": (1, 64), "seismic_factor": (0.0, math.inf), "rerank_factor": (1.0, 2.0), "exhaustive": (0, 1)}
 
 
+#: What each kind of query may say, beside the options above.
+_KEYS = {
+    "all": "", "term": "field term", "match": "field text max_terms proximity_weight proximity_window", "phrase": "field text slop", "prefix": "field prefix",
+    "range": "field min max min_u64 max_u64 min_i64 max_i64 min_f64 max_f64", "boost": "query boost", "boolean": "must should must_not",
+    "sparse_vector": "field indices values weight_threshold pruning max_query_dims min_query_dims combiner", "dense_vector": "field vector combiner",
+    "binary_dense_vector": "field words bits combiner", "fusion": "queries method rrf_k depth combiner",
+}
+_BRANCH = "query weight name scope score_only"
+
+
+def _only(what: str, body: Mapping[str, Any], keys: str) -> None:
+    if unknown := sorted(set(body) - set(keys.split())):
+        raise QueryError(f"{what} knows no {', '.join(map(repr, unknown))}")
+
+
 def page(limit: int = 10, offset: int = 0) -> tuple[int, int]:
     if not 0 <= limit <= MOST_RESULTS or offset < 0 or limit + offset > MOST_WINDOW:
         raise QueryError(f"limit goes to {MOST_RESULTS}, limit and offset to {MOST_WINDOW}")
@@ -51,13 +66,14 @@ class _Builder:
         if not isinstance(spec, Mapping) or len(spec) != 1:
             raise QueryError("a query is a dict with exactly one key")
         (kind, body), *_ = spec.items()
-        make = getattr(self, f"_{kind}", None)
+        make = getattr(self, f"_{kind}") if kind in _KEYS else None
         if make is None or kind == "fusion" and not top:
             raise QueryError(f"unknown query {kind!r}" if make is None else "a fusion stands at the top alone")
         body = dict(body or {})
         for name, (low, high) in _EFFORT.items():
             if name in body and not low <= float(body.pop(name)) <= high:
                 raise QueryError(f"{name} goes from {low} to {high}")
+        _only(kind, body, _KEYS[kind])
         try:
             return make(body, depth)
         except (KeyError, TypeError) as e:
@@ -76,7 +92,7 @@ class _Builder:
         return N.Term(body["field"], self.text(body, "term"))
 
     def _match(self, body: dict, depth: int) -> N.Node:
-        return N.Match(body["field"], self.text(body, "text"), int(body.get("max_terms") or 20), float(body.get("proximity_weight", 0)), int(body.get("proximity_window", 8)))
+        return N.Match(body["field"], self.text(body, "text"), int(body["max_terms"]) if body.get("max_terms") else None, float(body.get("proximity_weight", 0)), int(body.get("proximity_window", 8)))
 
     def _phrase(self, body: dict, depth: int) -> N.Node:
         return N.Phrase(body["field"], self.text(body, "text"), int(body.get("slop", 0)))
@@ -120,6 +136,7 @@ class _Builder:
     def _fusion(self, body: dict, depth: int) -> N.Node:
         branches = []
         for b in body["queries"]:
+            _only("a branch", b, _BRANCH)
             if b.get("scope", "document") not in ("document", "chunk"):
                 raise QueryError("a branch's scope is document or chunk")
             branches.append(N.Branch(self.build(b["query"], depth + 1), float(b.get("weight", 1.0)), b.get("name"), b.get("scope", "document"), bool(b.get("score_only", False))))

@@ -1,9 +1,12 @@
 """The driver's entry points, with and without the subpackage that they can do without."""
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -15,11 +18,19 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_imports_without_the_optional_part(tmp_path):
-    """A copy without the optional folders imports, and has the engine's queries still."""
-    import shutil
+CODE = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_imports_without_the_optional_part(tmp_path, pipeline):
+    """A copy without the optional folders imports, and has the engine's queries still."""
     shutil.copytree(ROOT / "quarry", tmp_path / "quarry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * pipeline:
+        shutil.copy(ROOT / name, tmp_path)
+    subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_imports_without_a_library(tmp_path):
+    """Where a library is missing that only the optional part needs, the engine's queries are there."""
+    hide = "import sys; sys.modules['ahocorasick'] = None; "
+    subprocess.run([sys.executable, "-c", hide + CODE], cwd=ROOT, check=True, timeout=120)
