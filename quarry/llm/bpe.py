@@ -1,12 +1,14 @@
 """Byte-pair encoding and decoding of whole documents, by tree concatenation.
 
-A vocabulary file of the tokenizers library is applied exactly. White space separates
-pre-tokens in these vocabularies, so a text is the concatenation of its words and every word
-is encoded once and remembered. A run without white space that is longer than ``leaf`` symbols
-is cut into leaves that are encoded in parallel, on any executors. Neighbours are then joined
-pairwise, as in a tree: a growing window of tokens around each join is encoded anew until it
-fits both sides. A BPE encoding is exact if and only if each adjacent pair of its tokens is
-one (encoding the pair's symbols gives back the pair), so agreement at both ends is exactness.
+A vocabulary file of the tokenizers library is applied exactly. A text of more than ``leaf``
+bytes is halved, and halved again, wherever that falls, into leaves that are encoded in
+parallel, on any executors. Neighbours are then joined pairwise, as in a tree: a growing window
+around each join is encoded anew until it fits both sides. Where white space is near, the
+window has grown enough when a whole word lies on either side of the join: white space
+separates pre-tokens in these vocabularies, so what stands beyond is encoded alike. In a run
+without white space that is longer than a leaf, the window grows by tokens: a BPE encoding is
+exact if and only if each adjacent pair of its tokens is one (encoding the pair's symbols gives
+back the pair), so agreement at both ends is exactness.
 """
 
 from __future__ import annotations
@@ -16,16 +18,19 @@ import heapq
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import as_bytes
+from quarry.llm.common import as_bytes, cut, small_batches
 
-#: Symbols of a leaf of the tree. Words of up to this length are encoded whole.
+#: Bytes (in a run without white space: symbols) of a leaf of the tree. Texts of up to this length are encoded whole.
 LEAF = 8192
+#: Bytes at a join that are looked at first.
+EDGE = 64
 #: Entries of a worker's memories of words and pre-tokens; they are emptied when full.
 WORDS, PRETOKENS = 100_000, 600_000
 
@@ -239,6 +244,63 @@ class Encoder:
         return out + (self.merges.tree(run) if run else [])
 
 
+_HEAD, _TAIL = re.compile(rb"\S*\s+\S+(?=\s)"), re.compile(rb"\s(\S+\s+\S*)\Z")
+
+
+def halves(text: bytes, leaf: int) -> list[bytes]:
+    """A UTF-8 text, halved until no part has more than about leaf bytes; characters stay whole."""
+    if len(text) <= leaf:
+        return [text]
+    middle = len(text) // 2
+    while middle < len(text) and text[middle] & 0xC0 == 0x80:
+        middle += 1
+    return [text] if middle == len(text) else halves(text[:middle], leaf) + halves(text[middle:], leaf)
+
+
+def edges(text: bytes) -> tuple[bytes, bytes]:
+    """What joins look at: a text's first bytes, and its last, up to a whole word beside the one that may be cut; else all of it."""
+    head = tail = text
+    width = EDGE
+    while width < len(text) and not (m := _HEAD.match(text[:width])):
+        width *= 2
+    if width < len(text):
+        head = text[: m.end()]
+    width = EDGE
+    while width < len(text) and not (m := _TAIL.search(text[-width:])):
+        width *= 2
+    if width < len(text):
+        tail = m.group(1)
+    return head, tail
+
+
+@dataclass
+class Half:
+    """An encoded part of a text: its ids, its first and its last bytes, and whether those are all of it."""
+
+    ids: bytes
+    head: bytes
+    tail: bytes
+    head_all: bool
+    tail_all: bool
+
+    def join(self, other: Half, encode: Callable[[bytes], bytes]) -> Half:
+        """Both, one after the other: the window around the join is encoded anew, and must fit what both sides have there."""
+        left, right = encode(self.tail), encode(other.head)
+        if not self.ids.endswith(left) or not other.ids.startswith(right):
+            raise ValueError("the halves of a text don't agree with the window around their join")
+        ids = self.ids[: len(self.ids) - len(left)] + encode(self.tail + other.head) + other.ids[len(right) :]
+        head = self.head + other.head if self.head_all else self.head
+        tail = self.tail + other.tail if other.tail_all else other.tail
+        return Half(ids, head, tail, self.head_all and other.head_all, self.tail_all and other.tail_all)
+
+
+def joined(parts: list[Half], encode: Callable[[bytes], bytes]) -> bytes:
+    """The ids of a text from its halves, joined level by level."""
+    while len(parts) > 1:
+        parts = [parts[i].join(parts[i + 1], encode) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0].ids if parts else b""
+
+
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -292,14 +354,14 @@ def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text.
 
-    Texts whose words all have at most ``leaf`` characters are encoded where they are read.
-    The others are cut into leaves, which are dealt over the cluster, encoded, and joined.
-    Null and empty texts have no tokens and the digests of nothing. Rows stay as many as they
-    are, repeated ids included; a null id stays null. Other columns are not looked at.
+    Texts of at most ``leaf`` bytes are encoded where they are read. The others are cut into
+    leaves, which are written, encoded wherever they are read, and joined. Null and empty texts
+    have no tokens and the digests of nothing. Rows stay as many as they are, repeated ids
+    included; a null id stays null. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    long = has_long_run(F.col("text"), leaf)
+    long = F.coalesce(F.octet_length("text") > leaf, F.lit(False))
 
     def short_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, leaf)
@@ -312,15 +374,15 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, leaf)
         for b in batches:
-            for row_id, row, text in zip(b.column(0), b.column(1).to_pylist(), as_bytes(b.column(2))):
-                parts = plain_and_cut(e, text)
+            for row_id, row, long_run, text in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), as_bytes(b.column(3))):
+                parts = [(np.array(x, "<u4").tobytes(), on) for x, on in plain_and_cut(e, text)] if long_run else [(x, 3) for x in halves(text, leaf)]
                 for i in range(0, len(parts), 64):
                     some = parts[i : i + 64]
                     columns = [
                         pa.array([row_id.as_py()] * len(some), b.column(0).type), pa.array([row] * len(some), pa.int64()), pa.array(range(i, i + len(some)), pa.int32()),
-                        pa.array([x[1] for x in some], pa.int32()), pa.array([np.array(x[0], "<u4").tobytes() for x in some], pa.binary()),
+                        pa.array([x[1] for x in some], pa.int32()), pa.array([x[0] for x in some], pa.binary()),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "part", "on", "symbols"])
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "part", "on", "piece"])
 
     def plain_and_cut(e: Encoder, text: bytes) -> list[tuple[list[int], int]]:
         """Parts in order: (ids, 2) of words between long ones, and the leaves of long ones."""
@@ -336,18 +398,28 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, leaf)
         for b in batches:
-            done = [x if on == 2 else np.array(e.merges.encode(np.frombuffer(x, "<u4").tolist()), "<u4").tobytes() for x, on in zip(b.column(4).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(done, pa.binary())], ["doc_id", "row", "part", "on", "symbols"])
+            done, heads, tails = [], [], []
+            for x, on in zip(b.column(4).to_pylist(), b.column(3).to_pylist()):
+                head, tail = edges(x) if on == 3 else (None, None)
+                done.append(e.encode(x) if on == 3 else x if on == 2 else np.array(e.merges.encode(np.frombuffer(x, "<u4").tolist()), "<u4").tobytes())
+                heads.append(head), tails.append(tail)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(x, pa.binary()) for x in (done, heads, tails)), pa.array([len(x) for x in b.column(4).to_pylist()], pa.int32())], encoded)
 
     def join_up(got: pa.Table) -> pa.Table:
         e = encoder(path, leaf)
         got = got.sort_by("part")
-        leaves = [(np.frombuffer(x, "<u4").tolist(), on if on == 1 else 0) for x, on in zip(got["symbols"].to_pylist(), got["on"].to_pylist())]
-        ids = np.array(e.gather(leaves), "<u4").tobytes()
+        if got["on"][0].as_py() == 3:
+            parts = [Half(ids, head, tail, len(head) == n, len(tail) == n) for ids, head, tail, n in zip(*(got[c].to_pylist() for c in encoded[4:]))]
+            ids = joined(parts, e.encode)
+        else:
+            ids = np.array(e.gather([(np.frombuffer(x, "<u4").tolist(), on if on == 1 else 0) for x, on in zip(got["ids"].to_pylist(), got["on"].to_pylist())]), "<u4").tobytes()
         return pa.table([got["doc_id"].slice(0, 1), *_digests(e, [ids])], names=["doc_id", *NAMES])
 
+    encoded = ["doc_id", "row", "part", "on", "ids", "head", "tail", "n"]
     schema = f"doc_id {id_type}, {SCHEMA}"
     short = rows.filter(~long).mapInArrow(short_run, schema)
-    leaves = rows.filter(long).select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(cut_up, f"doc_id {id_type}, row long, part int, on int, symbols binary")
-    joined = leaves.repartition("row", "part").mapInArrow(encode_leaves, leaves.schema).groupBy("row").applyInArrow(join_up, schema)
-    return short.unionByName(joined)
+    with small_batches(docs.sparkSession, 256):
+        pieces = rows.filter(long).select("doc_id", F.monotonically_increasing_id().alias("row"), has_long_run(F.col("text"), leaf), "text")
+        leaves = cut(pieces.mapInArrow(cut_up, f"doc_id {id_type}, row long, part int, on int, piece binary"), "leaves")
+    done = leaves.mapInArrow(encode_leaves, f"doc_id {id_type}, row long, part int, on int, ids binary, head binary, tail binary, n int")
+    return short.unionByName(done.groupBy("row").applyInArrow(join_up, schema))

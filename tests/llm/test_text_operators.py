@@ -70,7 +70,7 @@ def test_alignment(seed):
 def test_scanner():
     s, words = licenses.Scanner(licenses.TEMPLATES), licenses.license_words
     noise = "the of and a work by license under in terms public text version any " * 40
-    for k, (name, text) in enumerate(licenses.TEMPLATES):
+    for k, (name, text, *_) in enumerate(licenses.TEMPLATES):
         at = len(words(noise))
         found = s.scan(words(f"{noise}\n{text}\n{noise}{text}"))
         mine = [x for x in found if x[0] == k]
@@ -84,6 +84,21 @@ def test_scanner():
     assert not any(x[1] == "MIT" for x in s.scan(words(half)))
 
 
+NEAR_MISSES = {
+    "Released under the BSD License.": [], "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"], "Licensed under CC BY 4.0.": ["CC-BY-4.0"], "Licensed under CC BY-ND 4.0.": [], "Licensed under CC BY 3.0.": [],
+    "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"], "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+    "Licensed under the Apache License, Version 1.1.": [], "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": [],
+}
+
+
+def test_near_misses():
+    s, words = licenses.Scanner(licenses.TEMPLATES), licenses.license_words
+    for text, want in NEAR_MISSES.items():
+        assert [x[1] for x in s.scan(words(f"some words before. {text} and after"))] == want, text
+    for name, text, *_ in licenses.TEMPLATES:  # full texts are told from those that hold parts of them
+        assert {x[1] for x in s.scan(words(text))} == {name}
+
+
 def test_scan_rows(spark):
     rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, None), (3, ""), (None, "x Licensed under CC BY-NC 4.0. y"), (4, "word " * 200_000 + "Released under the MIT license!")]
     df = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "'z' as found", "1 as license")
@@ -135,6 +150,26 @@ def test_bpe_odd_texts(spark, tokenizer):
     assert bpe.encode_decode(df.limit(0), queries.vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize("leaf", [40, 300, 5000])
+def test_halves_join_exactly(tokenizer, leaf):
+    """Texts cut anywhere, within words, numbers, clitics, marks and special tokens, give the ids of the whole."""
+    e, rng = bpe.Encoder(queries.vocabulary(), leaf), random.Random(leaf)
+    words = ["don't", "we'll", "1234567", "naïve", "Éa\u0301", "日本語テキスト", "<|startoftext|>", "x" * 30, "a,b;c!", "I'M", "ΣΑΣ", "\u00a0y", "🦀🦀", "the", "of"]
+    for n in (3, 40, 400, 2500):
+        for gap in (" ", "\n\n", "\t "):
+            text = gap.join(rng.choice(words) for _ in range(n)).encode() + rng.choice([b"", b"  ", b"z"])
+            parts = bpe.halves(text, leaf)
+            assert b"".join(parts) == text and all(len(x) <= leaf + 4 for x in parts)
+            done = []
+            for x in parts:
+                head, tail = bpe.edges(x)
+                done.append(bpe.Half(e.encode(x), head, tail, head == x, tail == x))
+            cut_ids, whole = b"".join(x.ids for x in done), e.encode(text)
+            assert bpe.joined(done, e.encode) == whole
+            assert whole == np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            assert len(parts) < 20 or cut_ids != whole  # without the joins it would be another encoding
+
+
 @pytest.mark.parametrize("leaf", [3, 17, 8192])
 def test_tree_is_exact(tokenizer, leaf):
     e, rng = bpe.Encoder(queries.vocabulary(), leaf), random.Random(leaf)
