@@ -3,21 +3,26 @@
 Positive-unlabelled learning minimises the non-negative estimate of the classification risk,
 ``prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))``. The share of positives in the unlabelled
 text, the prior, is estimated from how the scores of held-back positives and of unlabelled text
-compare in their best top bin.
+compare in their best top bin. A bounded sample gives a first network; the prior and the final
+network come from all unlabelled text: every task goes on learning from its own rows, and the
+tasks' networks are averaged, each by its rows.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from quarry.llm.common import as_bytes
+from quarry.llm.common import as_bytes, cut, discard
 
-#: Positives and unlabelled documents that training draws at most (about; by a hash of the id).
-POSITIVES, UNLABELLED = 4000, 8000
+#: Labelled positives that training draws at most, and unlabelled documents that the first network starts from (about; by a hash of the id).
+POSITIVES, START = 4000, 8000
+#: Bins of scores by which the prior is told; rows of unlabelled text that a task learns from in one go.
+BINS, LOT = 2000, 2000
 
 #: Byte -> one of 16 kinds, for how characters follow each other.
 _KINDS = np.full(256, 15, np.int64)
@@ -103,18 +108,24 @@ def positive_against_unlabelled(net: Net, p: np.ndarray, u: np.ndarray, steps: i
     net.adam(gradient, steps)
 
 
-def best_bin_prior(p_scores: np.ndarray, u_scores: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
-    """Share of positives among u: the least ratio of top-bin shares, chosen by its upper bound."""
-    cuts = np.unique(p_scores)
-    above = lambda s: 1 - np.searchsorted(np.sort(s), cuts, "left") / len(s)
-    q_p, q_u = above(p_scores), above(u_scores)
-    slack = np.sqrt(np.log(4 / delta) / 2 / len(u_scores)) + np.sqrt(np.log(4 / delta) / 2 / len(p_scores))
+def best_bin_prior(p_scores: np.ndarray, u_counts: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Share of positives among unlabelled rows, which are counted by bins of their scores: the least ratio of top-bin shares, chosen by its upper bound."""
+    bins, n = len(u_counts), max(1, u_counts.sum())
+    top = lambda counts: counts[::-1].cumsum()[::-1]
+    p_counts = np.bincount(binned(p_scores, bins), minlength=bins)
+    q_p, q_u = top(p_counts) / len(p_scores), top(u_counts) / n
+    q_p, q_u = q_p[p_counts > 0], q_u[p_counts > 0]
+    slack = np.sqrt(np.log(4 / delta) / 2 / n) + np.sqrt(np.log(4 / delta) / 2 / len(p_scores))
     bound = (q_u + (1 + gamma) / np.maximum(q_p, 1e-9) * slack) / np.maximum(q_p, 1e-9)
     best = int(np.argmin(bound))
     return float(np.clip(q_u[best] / max(q_p[best], 1e-9), 0.01, 0.99))
 
 
-def non_negative(net: Net, p: np.ndarray, u: np.ndarray, prior: float, steps: int, seed: int) -> None:
+def binned(scores: np.ndarray, bins: int = BINS) -> np.ndarray:
+    return np.minimum((scores * bins).astype(np.int64), bins - 1)
+
+
+def non_negative(net: Net, p: np.ndarray, u: np.ndarray, prior: float, steps: int, seed: int, rate: float = 0.005) -> None:
     """Minimise the non-negative risk with the sigmoid loss l(y g) = sigmoid(-y g).
 
     Where a batch's estimate of the negatives' risk falls below zero, the step climbs that part
@@ -135,27 +146,77 @@ def non_negative(net: Net, p: np.ndarray, u: np.ndarray, prior: float, steps: in
             d_p, d_u = prior * slope_p, -slope_u
         return [x + y for x, y in zip(net.backward(a, h_p, d_p), net.backward(b, h_u, d_u))]
 
-    net.adam(gradient, steps)
+    net.adam(gradient, steps, rate)
 
 
-def fit(p: np.ndarray, u: np.ndarray, steps: int = 1500, seed: int = 2) -> tuple[Net, float]:
-    """(classifier, estimated prior) from features of positives and of unlabelled documents."""
+def tellers(p: np.ndarray, u: np.ndarray, steps: int, seed: int) -> tuple[list[Net], np.ndarray]:
+    """(two networks that tell positives from unlabelled rows, scores of the positives): each half of the positives is scored by what the other half taught."""
     mean, scale = u.mean(axis=0), u.std(axis=0) + 1e-3
-    told_p, told_u = np.zeros(len(p)), np.zeros(len(u))
-    for half in (0, 1):  # each half is scored by what the other half taught
+    nets, told = [], np.zeros(len(p))
+    for half in (0, 1):
         learn_p, learn_u = np.arange(len(p)) % 2 == half, np.arange(len(u)) % 2 == half
         if learn_p.all() or learn_u.all() or not (learn_p.any() and learn_u.any()):
             learn_p[:], learn_u[:] = True, True
-        teller = Net(mean, scale, seed=seed)
-        positive_against_unlabelled(teller, p[learn_p], u[learn_u], steps // 3, seed)
-        rest_p, rest_u = (x if x.any() else ~x for x in (~learn_p, ~learn_u))
-        told_p[rest_p], told_u[rest_u] = teller.score(p[rest_p]), teller.score(u[rest_u])
-    prior = best_bin_prior(told_p, told_u)
-    net = Net(mean, scale, seed=seed + 1)
+        net = Net(mean, scale, seed=seed)
+        positive_against_unlabelled(net, p[learn_p], u[learn_u], steps // 3, seed)
+        rest = ~learn_p if not learn_p.all() else learn_p
+        told[rest] = net.score(p[rest])
+        nets.append(net)
+    return nets, told
+
+
+def fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, seed: int = 2) -> Net:
+    """A classifier from features of positives and of unlabelled documents, and the share of positives among these."""
+    net = Net(u.mean(axis=0), u.std(axis=0) + 1e-3, seed=seed + 1)
     positive_against_unlabelled(net, p, u, steps // 5, seed + 1)  # a start from which the sigmoid loss has slopes
     net.p[3] += np.log(prior / (1 - prior)) / 2
     non_negative(net, p, u, prior, steps, seed + 2)
-    return net, prior
+    return net
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Features from a column of them, LOT rows at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, LOT):
+            some = b.column(0)[i : i + LOT].to_pylist()
+            yield np.frombuffer(b"".join(some), "<f2").reshape(-1, N_FEATURES).astype(np.float64)
+
+
+def scores_by_bin(rows: DataFrame, nets: list[Net]) -> np.ndarray:
+    """How many rows (x: features) score in each bin, by the mean of nets: counted in the tasks, then summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS, np.int64)
+        for x in _matrices(batches):
+            counts += np.bincount(binned(np.mean([net.score(x) for net in nets], axis=0)), minlength=BINS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["bin", "n"])
+
+    out = np.zeros(BINS, np.int64)
+    for r in rows.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def refined(rows: DataFrame, net: Net, p: np.ndarray, prior: float, seed: int) -> Net:
+    """net, after every task has gone on from it over all its own rows (x: features), averaged by rows."""
+    p = p.astype("<f2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, positives = copy.deepcopy(net), 0, p.astype(np.float64)
+        for x in _matrices(batches):
+            non_negative(own, positives, x, prior, max(1, len(x) // 128), seed + n, rate=0.0005)
+            n += len(x)
+        flat = np.concatenate([x.ravel() for x in own.p]) * n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), n, np.int64))], ["i", "v", "n"])
+
+    got = rows.mapInArrow(run, "i int, v double, n long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()  # a row for each parameter
+    flat = np.array([r["v"] / max(1, r["n"]) for r in sorted(got, key=lambda r: r["i"])])
+    out, at = copy.deepcopy(net), 0
+    for k, x in enumerate(net.p):
+        out.p[k] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    return out
 
 
 def fold(id_col: Column, parts: int) -> Column:
@@ -165,15 +226,16 @@ def fold(id_col: Column, parts: int) -> Column:
 
 @F.arrow_udf(T.BinaryType())
 def _features(texts: pa.Array) -> pa.Array:
-    return pa.array([features(x).astype("<f4").tobytes() for x in as_bytes(texts)], pa.binary())
+    return pa.array([np.minimum(features(x), 60_000).astype("<f2").tobytes() for x in as_bytes(texts)], pa.binary())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", seed: int = 13) -> Net | None:
-    """A classifier from rows of labels that are 1 and a sample of docs; None without either.
+    """A classifier from rows of labels that are 1 and all of docs; None without either.
 
     Both tables are used as they are given: leave out what must not be learnt from. About
-    POSITIVES and UNLABELLED documents are drawn by a hash of the id; other labels than 1 are
-    not looked at.
+    POSITIVES labelled documents are drawn by a hash of the id; other labels than 1 are not
+    looked at. All documents take part as unlabelled text; about START of them give the first
+    network. Rows of docs without an id are left out.
     """
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10_000_000))
     trusted = labels.filter((F.col(label_col) == 1) & F.col(label_id).isNotNull()).select(F.col(label_id).cast("long").alias("id")).distinct()
@@ -182,10 +244,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     trusted = trusted.filter(draw < int(1e7 * min(1, POSITIVES / n_p))).withColumn("positive", F.lit(True))
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(trusted), "id", "left").withColumn("u", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(10_000_000)) < int(1e7 * min(1, UNLABELLED / n_u)))
-    got = rows.filter("positive or u").select("id", F.coalesce("positive", F.lit(False)).alias("positive"), "u", _features("text").alias("x")).toPandas().sort_values("id", kind="stable")
-    p, u = (np.frombuffer(b"".join(got.loc[got[c], "x"]), "<f4").reshape(-1, N_FEATURES).astype(np.float64) for c in ("positive", "u"))
-    return fit(p, u)[0] if len(p) and len(u) else None
+    rows = rows.join(F.broadcast(trusted), "id", "left").withColumn("u", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(10_000_000)) < int(1e7 * min(1, START / n_u)))
+    known = cut(rows.select("id", F.coalesce("positive", F.lit(False)).alias("positive"), "u", _features("text").alias("x")), "features")
+    got = known.filter("positive or u").toPandas().sort_values("id", kind="stable")
+    p, u = (np.frombuffer(b"".join(got.loc[got[c], "x"]), "<f2").reshape(-1, N_FEATURES).astype(np.float64) for c in ("positive", "u"))
+    if not len(p) or not len(u):
+        return None
+    every, steps = known.select("x"), 1500
+    nets, told = tellers(p, u, steps, 2)
+    prior = best_bin_prior(told, scores_by_bin(every, nets))
+    net = refined(every, fit(p, u, prior, steps), p, prior, seed)
+    discard(known)
+    return net
 
 
 def scorer(net: Net | None):

@@ -81,8 +81,10 @@ def test_prior_and_risk():
     rng = np.random.default_rng(1)
     draw = lambda n, m: np.concatenate([rng.normal(m, 1, (n, 2)), rng.normal(0, 1, (n, 3))], axis=1)
     p, u = draw(1500, 2.0), np.concatenate([draw(1200, 2.0), draw(2800, -1.0)])
-    net, prior = quality.fit(p, u)
+    nets, told = quality.tellers(p, u, 1500, 2)
+    prior = quality.best_bin_prior(told, np.bincount(quality.binned(np.mean([n.score(u) for n in nets], axis=0)), minlength=quality.BINS))
     assert 0.2 < prior < 0.42
+    net = quality.fit(p, u, prior)
     scores = net.score(np.concatenate([draw(500, 2.0), draw(500, -1.0)]))
     assert area(scores, [1] * 500 + [0] * 500) > 0.97
     assert ((scores >= 0.5) == (np.arange(1000) < 500)).mean() > 0.93
@@ -97,6 +99,18 @@ def test_quality_query(spark):
     assert area(held.score, held.quality) > 0.9
 
 
+def test_all_unlabelled_rows_count(spark):
+    """The network that the tasks average has learnt from rows that the first sample does not hold."""
+    rng, n = np.random.default_rng(3), quality.N_FEATURES
+    p, u = rng.normal(0.05, 1, (300, n)), rng.normal(-0.05, 1, (600, n))
+    net = quality.Net(u.mean(axis=0), u.std(axis=0))
+    rows = spark.createDataFrame([(x.astype("<f2").tobytes(),) for x in u], "x binary").repartition(3)
+    assert quality.scores_by_bin(rows, [net]).sum() == 600
+    out = quality.refined(rows, net, p, 0.3, 1)
+    assert out is not net and any(np.abs(a - b).max() > 1e-6 for a, b in zip(out.p, net.p))
+    assert out.score(p).mean() - out.score(u).mean() > net.score(p).mean() - net.score(u).mean()
+
+
 def test_quality_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, "words and more"), (None, "x"), (3, "long " * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
