@@ -269,6 +269,25 @@ def dict_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(planner.hits(documents(spark, sf_dir), node))
 
 
+@query("match_trailing_star", doc_sql([], top("select doc_id, 1.0::double as score from tok where len(list_filter(t, lambda x: starts_with(x, 'tiont'))) > 0", None)))
+def match_trailing_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.plans import request
+
+    return every(planner.hits(documents(spark, sf_dir), request.build({"match": {"field": "text", "text": "Tiont*"}})))
+
+
+@query("term_fast_text", "select o_orderkey, 1.0::double as score from orders where o_orderpriority = (select min(o_orderpriority) from orders)")
+def term_fast_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text field that is fast only is compared as a whole."""
+    orders = table(spark, sf_dir, "orders")
+    value = orders.agg(F.min("o_orderpriority")).first()[0]
+    schema = parse_schema("index orders { field o_orderkey: i64 [fast] field o_orderpriority: text<raw> [fast] }")
+    return planner.hits(Index(orders, schema, "o_orderkey"), N.Term("o_orderpriority", value))
+
+
+on_documents("bm25f_field_boost", N.Match("text", "and of", field_boost=2.5), simple_sql(["and", "of"], " + ".join(weight(f"(2.5 * tf{i})", f"idf{i}") for i in (0, 1)), "tf0 > 0 or tf1 > 0"))
+
+
 @query("get_document", "select doc_id, lang, source, n_chars from documents where doc_id = 17")
 def get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("doc_id = 17").select("doc_id", "lang", "source", "n_chars")

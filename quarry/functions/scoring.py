@@ -16,8 +16,14 @@ def idf(n: float, df: float) -> float:
     return math.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def bm25(tf: Column, length: Column, idf_value: float, average: float, k1: float = K1, b: float = B) -> Column:
-    """idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(average, 1))); 0 where tf is 0."""
+def bm25(tf: Column, length: Column, idf_value: float, average: float, k1: float = K1, b: float = B, field_boost: float = 1.0) -> Column:
+    """idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(average, 1))); 0 where tf is 0.
+
+    field_boost multiplies tf, inside the saturation.
+    """
+    if field_boost == 0:
+        return F.lit(0.0)
+    tf = tf * F.lit(float(field_boost)) if field_boost != 1 else tf
     saturated = tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * length / F.lit(max(average, 1.0))))
     return F.when(tf > 0, F.lit(idf_value) * saturated).otherwise(F.lit(0.0))
 

@@ -17,6 +17,11 @@ class Node:
     pass
 
 
+def _check_boost(boost: float) -> None:
+    if not (math.isfinite(boost) and boost >= 0):
+        raise QueryError("a field's boost is a finite number, not below 0")
+
+
 @dataclass(frozen=True)
 class All(Node):
     """Every document, with score 1."""
@@ -24,10 +29,18 @@ class All(Node):
 
 @dataclass(frozen=True)
 class Term(Node):
-    """A token of a field. Text of several tokens needs them all; text without any is an error."""
+    """A token of a field. Text of several tokens needs them all; text without any is an error.
+
+    A field that is fast but not indexed is compared as a whole, as a filter with score 1.
+    field_boost multiplies the token's count inside the saturation of its score.
+    """
 
     field: str
     text: str
+    field_boost: float = 1.0
+
+    def __post_init__(self) -> None:
+        _check_boost(self.field_boost)
 
 
 @dataclass(frozen=True)
@@ -43,8 +56,10 @@ class Match(Node):
     max_terms: int | None = None  # the field's, if not given
     proximity_weight: float = 0.0
     proximity_window: int = 8
+    field_boost: float = 1.0
 
     def __post_init__(self) -> None:
+        _check_boost(self.field_boost)
         if self.max_terms is not None and not 1 <= self.max_terms <= 64:
             raise QueryError("max_terms goes from 1 to 64")
 

@@ -144,53 +144,61 @@ class Planner:
     def wanted(self, node: N.Node) -> dict[str, set[str]]:
         out: dict[str, set[str]] = {}
         for x in N.walk(node):
-            if isinstance(x, (N.Term, N.Match, N.Phrase)):
+            if isinstance(x, (N.Term, N.Match, N.Phrase)) and not self.compared_whole(x):
                 out.setdefault(x.field, set()).update(t for _, t in self.analysed(x.field, x.text))
         return out
 
     # Text
 
+    def compared_whole(self, node: N.Node) -> bool:
+        f = self.schema[node.field]
+        return isinstance(node, N.Term) and f.kind == "text" and f.fast and not f.indexed
+
     def term_parts(self, name: str, token: str) -> tuple[Column, Column]:
         """(tf, length) of a plain text field."""
         t = self.tok(name)
         tf = self.feature(f"tf:{name}:{token}", F.coalesce(F.size(t) - F.size(F.array_remove(t, token)), F.lit(0)))
         return tf, self.feature(f"len:{name}", F.size(F.array_compact(t)))
 
-    def weigh(self, name: str, tf: Column, length: Column, idf: float) -> Column:
+    def weigh(self, name: str, tf: Column, length: Column, idf: float, boost: float = 1.0) -> Column:
         f, s = self.schema[name], self.index.known[name]
         if f.chunked:
             length = F.greatest(length, F.lit(s.floor))
-        return scoring.bm25(tf, length, idf, s.average, f.k1, f.b)
+        return scoring.bm25(tf, length, idf, s.average, f.k1, f.b, boost)
 
     def folded(self, scores: Column) -> Compiled:
         """A chunked field's scores by chunk -> the document's: the best chunk counts."""
         best = F.array_max(scores)
         return Compiled(best.isNotNull(), F.coalesce(best, F.lit(0.0)), by_ordinal=scores)
 
-    def bag(self, name: str, tokens: list[tuple[str, int]], need_all: bool) -> Compiled:
+    def bag(self, name: str, tokens: list[tuple[str, int]], need_all: bool, boost: float = 1.0) -> Compiled:
         """A document's (or best chunk's) sum over tokens with their counts in the query."""
         stats = self.index.known[name]
         if not self.schema[name].chunked:
             parts = [(self.term_parts(name, t), n * stats.idf(t)) for t, n in tokens]
             matches = [tf > 0 for (tf, _), _ in parts]
             match = _all(matches) if need_all else _any(matches)
-            total = functools.reduce(operator.add, [self.weigh(name, tf, length, idf) for (tf, length), idf in parts]) if parts else F.lit(0.0)
+            total = functools.reduce(operator.add, [self.weigh(name, tf, length, idf, boost) for (tf, length), idf in parts]) if parts else F.lit(0.0)
             return Compiled(match, F.when(match, total).otherwise(F.lit(0.0)))
 
         def chunk(c: Column) -> Column:
             size = F.size(F.array_compact(c))
             tfs = [F.size(c) - F.size(F.array_remove(c, t)) for t, _ in tokens]
-            total = functools.reduce(operator.add, [self.weigh(name, tf, size, n * stats.idf(t)) for tf, (t, n) in zip(tfs, tokens)])
+            total = functools.reduce(operator.add, [self.weigh(name, tf, size, n * stats.idf(t), boost) for tf, (t, n) in zip(tfs, tokens)])
             matches = [tf > 0 for tf in tfs]
             return F.when(_all(matches) if need_all else _any(matches), total)
 
-        return self.folded(self.feature(f"bag:{name}:{tokens}:{need_all}", F.transform(self.tok(name), chunk)))
+        return self.folded(self.feature(f"bag:{name}:{tokens}:{need_all}:{boost}", F.transform(self.tok(name), chunk)))
 
     def term(self, node: N.Term) -> Compiled:
+        if self.compared_whole(node):
+            value = F.col(node.field)
+            hit = F.coalesce(F.array_contains(value, node.text) if self.schema[node.field].multi else value == F.lit(node.text), F.lit(False))
+            return Compiled(hit, F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)), True)
         tokens = [t for _, t in self.analysed(node.field, node.text)]
         if not tokens:
             raise QueryError(f"{node.text!r} has no token in {node.field!r}")
-        return self.bag(node.field, [(t, 1) for t in dict.fromkeys(tokens)], True)
+        return self.bag(node.field, [(t, 1) for t in dict.fromkeys(tokens)], True, node.field_boost)
 
     def match(self, node: N.Match) -> Compiled:
         tokens = [t for _, t in self.analysed(node.field, node.text)]
@@ -202,7 +210,7 @@ class Planner:
             counts = [counts[i] for i in sorted(rank)]
         if not counts:
             return Compiled(F.lit(False), F.lit(0.0))
-        out = self.bag(node.field, counts, False)
+        out = self.bag(node.field, counts, False, node.field_boost)
         if node.proximity_weight and len(tokens) > 1:
             if self.schema[node.field].chunked:
                 raise QueryError("proximity is for plain text fields")
@@ -310,7 +318,7 @@ class Planner:
     def boolean(self, node: N.Boolean) -> Compiled:
         should = list(node.should)
         if len(should) > MOST_SHOULD:
-            df = {i: min(self.index.known[x.field].df.get(t, 0) for _, t in self.analysed(x.field, x.text)) for i, x in enumerate(should) if isinstance(x, N.Term)}
+            df = {i: min(self.index.known[x.field].df.get(t, 0) for _, t in self.analysed(x.field, x.text)) for i, x in enumerate(should) if isinstance(x, N.Term) and not self.compared_whole(x)}
             order = sorted(range(len(should)), key=lambda i: (df.get(i, 0) == 0, df.get(i, 0), i)) if len(df) == len(should) else range(len(should))
             should = [should[i] for i in sorted(list(order)[:MOST_SHOULD])]
         must, some, none = ([self.compile(x) for x in clauses] for clauses in (node.must, should, node.must_not))

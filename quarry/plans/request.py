@@ -20,7 +20,7 @@ _EFFORT = {"heap_factor": (0.0, 1.0), "time_budget_ms": (0, math.inf), "lsp_gamm
 
 #: What each kind of query may say, beside the options above.
 _KEYS = {
-    "all": "", "term": "field term", "match": "field text max_terms proximity_weight proximity_window", "phrase": "field text slop", "prefix": "field prefix",
+    "all": "", "term": "field term field_boost", "match": "field text max_terms proximity_weight proximity_window field_boost", "phrase": "field text slop", "prefix": "field prefix",
     "range": "field min max min_u64 max_u64 min_i64 max_i64 min_f64 max_f64", "boost": "query boost", "boolean": "must should must_not",
     "sparse_vector": "field indices values weight_threshold pruning max_query_dims min_query_dims combiner", "dense_vector": "field vector combiner",
     "binary_dense_vector": "field words bits combiner", "fusion": "queries method rrf_k depth combiner",
@@ -89,10 +89,14 @@ class _Builder:
         return N.All()
 
     def _term(self, body: dict, depth: int) -> N.Node:
-        return N.Term(body["field"], self.text(body, "term"))
+        return N.Term(body["field"], self.text(body, "term"), float(body.get("field_boost", 1)))
 
     def _match(self, body: dict, depth: int) -> N.Node:
-        return N.Match(body["field"], self.text(body, "text"), int(body["max_terms"]) if body.get("max_terms") else None, float(body.get("proximity_weight", 0)), int(body.get("proximity_window", 8)))
+        text = self.text(body, "text")
+        if text.endswith("*"):  # a prefix, as it stands
+            return N.Prefix(body["field"], text[:-1].lower())
+        most = int(body["max_terms"]) if body.get("max_terms") else None
+        return N.Match(body["field"], text, most, float(body.get("proximity_weight", 0)), int(body.get("proximity_window", 8)), float(body.get("field_boost", 1)))
 
     def _phrase(self, body: dict, depth: int) -> N.Node:
         return N.Phrase(body["field"], self.text(body, "text"), int(body.get("slop", 0)))
