@@ -118,6 +118,18 @@ def sparse_doc_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size("kept").cast("long").alias("n_kept"), F.round(F.aggregate("kept", F.lit(0.0), lambda s, e: s + e["weight"].cast("double")), DIGITS).alias("mass"))
 
 
+_U8 = "list_transform(embedding, lambda x: floor((least(greatest(x::float, (-1)::float), 1::float) + 1::float) * 127.5::float)::int)"
+
+
+@query("u8_round_trip", f"with q as (select vec_id, {_U8} as c from embeddings) select vec_id, list_sum(c)::bigint as codes, round(list_sum(list_transform(c, lambda x: (x::float * (1 / 127.5)::float - 1::float)::double)), 4) as total from q")
+def u8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in a byte a component: the sums of the codes and of what they stand for."""
+    from quarry.functions.quantise import u8_codes, u8_values
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", u8_codes(F.col("embedding")).alias("c")).withColumn("v", u8_values(F.col("c")))
+    return rows.select("vec_id", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x).alias("codes"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
 # Reranking: a first ranking by code, a second by vector
 
 _FIRST = f"select vec_id, row_number() over (order by score desc, vec_id) as r1 from (select vec_id, round({HAMMING}, 6) as score from {CODES}) qualify r1 <= 100"
