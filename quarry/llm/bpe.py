@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import as_bytes, cut, small_batches
+from quarry.llm.common import as_bytes, cut, importable, small_batches
 
 #: Bytes (in a run without white space: symbols) of a leaf of the tree. Texts of up to this length are encoded whole.
 LEAF = 8192
@@ -339,6 +339,7 @@ def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Null and empty texts have no ids. Repeated rows and ids give repeated results. Other
     columns are not looked at.
     """
+    importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -359,6 +360,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     have no tokens and the digests of nothing. Rows stay as many as they are, repeated ids
     included; a null id stays null. Other columns are not looked at.
     """
+    importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     long = F.coalesce(F.octet_length("text") > leaf, F.lit(False))

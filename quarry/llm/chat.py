@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, importable
 
 #: How a turn opens and closes; roles that set the scene and are no participants.
 OPEN, CLOSE, SCENE = "<|im_start|>", "<|im_end|>\n", ("system",)
@@ -77,6 +77,7 @@ def perspectives(
     form one. Repeated rows are turns of their own. A conversation without participants, or an
     empty table, gives no rows. Other columns are not looked at.
     """
+    importable(turns.sparkSession)
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(speaker_col).cast("string").alias("speaker"), F.col(text_col).alias("said"))
     conv_type = rows.schema["conv"].dataType.simpleString()
     size = F.length(F.coalesce("said", F.lit(""))) + F.length(F.coalesce("speaker", F.lit(""))) + len(OPEN + "user name=\n" + CLOSE)

@@ -17,14 +17,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+#: Rows of an Arrow batch of texts.
+BATCH, _BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import this package from where the driver has it.
 
     Elsewhere it is installed, or shipped with --py-files. A worker is one task's: its
-    linear algebra runs on one thread, unless the environment says otherwise.
+    linear algebra runs on one thread, unless the environment says otherwise. Rows hold whole
+    texts: Arrow batches have BATCH rows, unless the session says otherwise.
     """
+    if spark.conf.get(_BATCH_KEY, None) in (None, "10000"):  # the default
+        spark.conf.set(_BATCH_KEY, str(BATCH))
     top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
         env.setdefault(name, os.environ.get(name, "1"))
@@ -87,13 +92,12 @@ def discard(df: DataFrame) -> None:
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
     """Arrow batches of few rows in jobs that run inside: for rows that hold large values."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+    old = spark.conf.get(_BATCH_KEY, None)
+    spark.conf.set(_BATCH_KEY, str(rows))
     try:
         yield
     finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        spark.conf.unset(_BATCH_KEY) if old is None else spark.conf.set(_BATCH_KEY, old)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, importable
 
 #: Vectors of a shard, of a leaf, queries that go through a shard together, and boxes that they are held against together.
 SHARD, LEAF, QUERIES, BOXES = 8192, 64, 2048, 4096
@@ -194,6 +194,7 @@ def top_k(
     their own. Components beyond 64 bits are held at that range's ends, and so are scores. An
     empty table gives no rows; other columns are not looked at.
     """
+    importable(vectors.sparkSession)
     taken = vectors.select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("is_query"), quantised(F.col(vector_col), scale).alias("v")).filter("vec_id is not null and v is not null")
     large = {r["d"]: r["count"] for r in taken.groupBy(F.size("v").alias("d")).count().filter(F.col("count") > shard).collect()}  # a row for each shard at most
     borders = {}

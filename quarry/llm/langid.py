@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import as_bytes
+from quarry.llm.common import as_bytes, importable
 
 #: Documents of a language and in all that training draws at most, spans that it draws of each, and characters of a span.
 PER_LANGUAGE, DOCUMENTS, SPANS, SPAN = 400, 6000, 8, 48
@@ -284,6 +284,7 @@ def identify(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", tex
     Rows stay as many as they are, whatever their id; equal texts are labelled alike, and equal
     probabilities go to the first language in order. Other columns are not looked at.
     """
+    importable(docs.sparkSession)
     told = docs.select(F.col(id_col).alias("doc_id"), predictor(tagger)(F.col(text_col)).alias("p"))
     return told.select("doc_id", "p.lang_pred", "p.score")
 
@@ -295,6 +296,7 @@ def least_score(tagger: Tagger | None) -> float:
 
 def clear(docs: DataFrame, tagger: Tagger | None, text_col: str = "text", least: float | None = None) -> DataFrame:
     """The rows, all columns as they are, whose language is told with a score of at least least (least_score() if None)."""
+    importable(docs.sparkSession)
     name = "_told"
     while name in docs.columns:
         name += "_"

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import as_bytes
+from quarry.llm.common import as_bytes, importable
 
 #: Share of a template's words that a passage must hold in order, and of the passage's words that must be the template's.
 COVERAGE, DENSITY = 0.8, 0.6
@@ -240,6 +240,7 @@ def scan(
     and repeated ids included; equal texts find alike. Texts of any length are read whole, in
     blocks of a few template lengths. Other columns are not looked at.
     """
+    importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     item = pa.struct([("template", pa.int32()), ("license", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())])

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import as_bytes, cut, gram_hashes, mix, small_batches, word_hashes, words_of
+from quarry.llm.common import as_bytes, cut, gram_hashes, importable, mix, small_batches, word_hashes, words_of
 from quarry.llm.components import components
 
 #: Minima in a band, and how likely a pair at the threshold may share no band.
@@ -192,6 +192,7 @@ def _told(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     number of its own, so that ids may repeat.
     """
     spark, bands = docs.sparkSession, bands_for(percent)
+    importable(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("row"), F.col(text_col).alias("text"))
     with small_batches(spark):
         signed = cut(_signed(rows, k, bands), "signed")

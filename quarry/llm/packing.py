@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.bpe import LEAF, encoder
-from quarry.llm.common import as_bytes, cut
+from quarry.llm.common import as_bytes, cut, importable
 
 #: Tokens of a sequence.
 LENGTH = 2048
@@ -23,6 +23,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int | None, id_col: str, text_
     before counts the tokens of the same task's earlier documents. It is written once, so that
     both passes of the prefix sum see one order even if tasks run again.
     """
+    importable(docs.sparkSession)
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarry.llm.common import U64, as_bytes, cut, discard, gram_hashes, mix, small_batches, word_hashes, words_of
+from quarry.llm.common import U64, as_bytes, cut, discard, gram_hashes, importable, mix, small_batches, word_hashes, words_of
 
 #: Words of a window, and of the phrases that windows are found by.
 WINDOW, PHRASE = 50, 8
@@ -263,6 +263,7 @@ def covered(n_words: int, spans: list[dict] | None, window: int) -> np.ndarray:
 
 def _marked(docs: DataFrame, window: int, phrase: int, shard: int, id_col: str, text_col: str, spans: str, hit: str) -> DataFrame:
     """docs with where its repeated windows start, and whether it has any."""
+    importable(docs.sparkSession)
     key, row = f"{spans}_key", f"{spans}_row"
     keyed = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(row, F.coalesce(F.xxhash64(text_col), F.lit(0)))
     known = keyed.filter(F.col(key).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))

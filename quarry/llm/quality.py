@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from quarry.llm.common import as_bytes, cut, discard
+from quarry.llm.common import as_bytes, cut, discard, importable
 
 #: Labelled positives that training draws at most, and unlabelled documents that the first network starts from (about; by a hash of the id).
 POSITIVES, START = 4000, 8000
@@ -237,6 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     looked at. All documents take part as unlabelled text; about START of them give the first
     network. Rows of docs without an id are left out.
     """
+    importable(docs.sparkSession)
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10_000_000))
     trusted = labels.filter((F.col(label_col) == 1) & F.col(label_id).isNotNull()).select(F.col(label_id).cast("long").alias("id")).distinct()
     n_p, n_u = trusted.count(), docs.count()
@@ -279,12 +280,14 @@ def rate(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str
     Null and empty texts are scored by the features of nothing. Rows stay as many as they are,
     whatever their id, and equal texts score alike. Other columns are not looked at.
     """
+    importable(docs.sparkSession)
     scored = docs.select(F.col(id_col).alias("doc_id"), scorer(net)(F.col(text_col)).alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, net: Net | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, all columns as they are, that score at least least."""
+    importable(docs.sparkSession)
     name = "_rated"
     while name in docs.columns:
         name += "_"
