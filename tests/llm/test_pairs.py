@@ -227,6 +227,7 @@ def test_copies(spark):
 def test_open_buckets(spark, monkeypatch):
     """A bucket of several groups: members that its smallest isn't alike to still find each other."""
     monkeypatch.setattr(images, "BLOCK", 3)
+    monkeypatch.setattr(images, "SMALL", 2)
     rows = []
     for i in range(6):
         own = images.drawn(i)
@@ -250,7 +251,7 @@ def test_tables_meet(descriptors):
         for row in far:
             row[rng.choice(images.TESTS, images.NEAR, replace=False)] ^= 1
         a, b = (images.table_keys(np.packbits(x, axis=1), sampled) for x in (own, far))
-        met += len(np.intersect1d(a, b)) > 0
+        met += len(np.intersect1d(a, b)) >= images.VOTES
     assert met / 150 > images.MEET - 0.08
 
 
@@ -270,7 +271,7 @@ def test_recall_of_edits():
     for edit, change in EDITS.items():
         pairs = [(images.describe(own), images.describe(change(own, i))) for i in range(n) for own in [images.drawn(1000 + i)]]
         linked = [x for x in pairs if images.agreeing(*x, images.AGREE) >= images.AGREE]
-        met = [x for x in linked if len(np.intersect1d(*(images.table_keys(y[1], sampled) for y in x)))]
+        met = [x for x in linked if len(np.intersect1d(*(images.table_keys(y[1], sampled) for y in x))) >= images.VOTES]
         shares[edit] = len(linked) / n, len(met) / max(1, len(linked))
         print(edit, "linked", shares[edit][0], "met", shares[edit][1])
     assert all(a >= 0.8 and b >= 0.75 for a, b in shares.values())
@@ -318,7 +319,7 @@ def sparse_keys(sampled):
         from pyspark.sql import functions as F
 
         keys = F.udf(lambda blob: [int(k) for k in images.table_keys(images.from_blob(bytes(blob))[1], sampled)] if blob else [], "array<long>")
-        return [images.cut(reps.select("rep", F.explode(keys("blob")).alias("key")), "keyed")]
+        return [images.cut(reps.select("rep", F.explode(keys("blob")).alias("key")), "keyed")], images.VOTES
 
     return keyed
 
