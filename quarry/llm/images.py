@@ -1,10 +1,10 @@
 """Edited copies of pictures, found by local descriptors.
 
 Corners at seven scales, four to an octave, are described by binary tests that turn with the corner's
-orientation. Descriptors that agree in all bits that a table samples meet in that table;
-pictures that meet are compared on all their descriptors, and are linked if one similarity
-transform explains enough of the matches. Where tables would bring together no fewer pairs
-than there are, all pairs are compared.
+orientation. Descriptors that agree in all bits that a table samples meet in that table. Two
+pictures are linked if they meet often enough and one similarity transform explains enough of
+their descriptors' matches. The tables are the same for any input, so whether two pictures are
+linked depends on these two alone.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import cut, importable, mix, small_batches
+from quarry.llm.common import cut, discard, importable, mix, small_batches
 from quarry.llm.components import components
 
 #: Corners that are described of each cell of a picture, by scale from the finest; a cell's side in pixels at most; the scales' factor.
@@ -30,11 +30,13 @@ RADIUS, TESTS, TURNS, SOFT = 12, 256, 64, 7
 #: Bits in which two descriptors may differ; pixels by which a match may miss; places at which a transform must explain matches, and a place's width.
 APART, MISS, AGREE, PLACE = 48, 2.5, 6, 5
 #: Least probability that two pictures with so many matches, each so many bits apart, meet in tables so many times; pictures of a block of one bucket.
-MEET, MATCHES, NEAR, VOTES, BLOCK = 0.9, 10, 17, 2, 2048
-#: Members of a bucket in which one meeting is not enough; in larger ones all are compared with the first.
+MEET, MATCHES, NEAR, VOTES, BLOCK = 0.995, 10, 17, 2, 2048
+#: Members of a bucket whose pairs are all counted; in larger ones all are compared with the first, then across components.
 SMALL = 64
 #: Sampled bits for each bit of the number of descriptors, as bits of a descriptor depend on each other; tables that are filled together.
-SAMPLED, TOGETHER = 2.3, 3
+SAMPLED, TOGETHER = 2.3, 5
+#: Descriptors that the tables are sized for, whatever the input; tests that tables sample; entries that are sorted, and pairs that are made, in one go.
+DESCRIPTORS, ACROSS, SORTED, MADE = 2**25, 192, 2**18, 2**18
 #: Descriptors that are compared with others in one go.
 ROWS, COLUMNS = 256, 6400
 
@@ -145,6 +147,12 @@ def _patterns() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 _DX, _DY, _FIRST, _SECOND = _patterns()
 
 
+def _across() -> np.ndarray:
+    """The tests whose two pixels lie most across the orientation: along it most patches grow brighter, so that these tests tell little."""
+    x, y = np.abs(_FIRST[0] - _SECOND[0]).T
+    return np.sort(np.argsort(x / np.maximum(np.hypot(x, y), 1e-9), kind="stable")[:ACROSS])
+
+
 def corners(level: np.ndarray, most: int, cells: tuple[int, int] = (1, 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, strength) of the strongest local maxima of the corner response, off the edges: most of each of the cells, down and across."""
     edge = RADIUS + 1
@@ -223,23 +231,27 @@ def tables_for(descriptors: int) -> np.ndarray:
     size = min(TESTS // 2, max(16, math.ceil(SAMPLED * math.log2(max(2, descriptors)))))
     one = math.comb(TESTS - NEAR, size) / math.comb(TESTS, size)
     fewer = lambda n: sum(math.comb(n, k) * one**k * (1 - one) ** (n - k) for k in range(VOTES))  # noqa: E731  that fewer than VOTES of n meet
-    count = next(t for t in range(1, TESTS) if fewer(t * MATCHES) <= 1 - MEET)
-    rng = np.random.default_rng(17)
-    return np.array([rng.choice(TESTS, size, replace=False) for _ in range(count)])
+    count = next(t for t in range(1, 10 * TESTS) if fewer(t * MATCHES) <= 1 - MEET)
+    rng, tests = np.random.default_rng(17), _across()
+    return np.array([rng.choice(tests, size, replace=False) for _ in range(count)])
 
 
-def table_keys(bits: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-    """The distinct entries of a picture's descriptors in the tables: a key hashes table and sampled bits."""
-    tests, out = np.unpackbits(bits, axis=1), []
-    for t in sampled:
+def entries_of(bits: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """(tables, descriptors): the key of each descriptor in each table, a hash of table and sampled bits."""
+    tests, out = np.unpackbits(bits, axis=1), np.empty((len(sampled), len(bits)), np.uint64)
+    for t, key in zip(sampled, out):
         packed = np.packbits(tests[:, t], axis=1)
         words = np.zeros((len(bits), 8 * math.ceil(packed.shape[1] / 8)), np.uint8)
         words[:, : packed.shape[1]] = packed
-        key = np.full(len(bits), zlib.crc32(t.astype("<i8").tobytes()), np.uint64)
+        key[:] = zlib.crc32(t.astype("<i8").tobytes())
         for w in words.view("<u8").T:
-            key = mix(key ^ w)
-        out.append(key)
-    return np.unique(np.concatenate(out).view(np.int64))
+            key[:] = mix(key ^ w)
+    return out.view(np.int64)
+
+
+def table_keys(bits: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """The distinct entries of a picture's descriptors in the tables."""
+    return np.unique(entries_of(bits, sampled))
 
 
 def words_of_bits(bits: np.ndarray) -> np.ndarray:
@@ -323,12 +335,27 @@ def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return best_yet
 
 
-def alike(x: bytes, y: bytes) -> bool:
-    """Whether two described pictures are copies; either may be given first."""
+def explained(x: bytes, y: bytes) -> bool:
+    """Whether a transform explains enough matches of two described pictures; either may be given first."""
     first, second = sorted((x, y))
     return agreeing(from_blob(first), from_blob(second), AGREE) >= AGREE
 
 
+@functools.cache
+def _tables() -> np.ndarray:
+    return tables_for(DESCRIPTORS)
+
+
+@functools.lru_cache(2048)
+def _keys(blob: bytes) -> np.ndarray:
+    return table_keys(from_blob(blob)[1], _tables())
+
+
+def alike(x: bytes, y: bytes) -> bool:
+    """Whether two described pictures are copies, and linked: explained(), and VOTES times in one bucket. No other picture has a say."""
+    return explained(x, y) and len(np.intersect1d(_keys(bytes(x)), _keys(bytes(y)), assume_unique=True)) >= VOTES
+
+
 def described(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """(media_id, n_corners, same, blob); same: a hash of the picture's bytes."""
     importable(media.sparkSession)
@@ -349,41 +376,127 @@ def described(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def _keyed(reps: DataFrame) -> tuple[list[DataFrame], int]:
-    """((rep, key) of reps with corners, some tables at a time; how often two must meet): their entries there, or one that all share where the tables would hold no fewer entries than there are pairs."""
-    reps = reps.filter("n_corners > 0")
-    pictures, n = reps.agg(F.count("*"), F.sum("n_corners")).first()
-    sampled = tables_for(n or 0)
-    if len(sampled) * (n or 0) >= pictures * (pictures - 1) / 2:
-        return [reps.select("rep", F.lit(0).cast("long").alias("key"))], 1
+    """((rep, key) of reps with corners, some tables at a time; how often two must meet). An entry may come twice."""
+    reps, sampled = reps.filter("n_corners > 0"), _tables()
 
     def entries(some: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for z in range(0, b.num_rows, 100):
-                    keys = [table_keys(from_blob(x)[1], some) for x in b.column(1)[z : z + 100].to_pylist()]
-                    at = np.repeat(np.arange(z, z + len(keys)), [len(k) for k in keys])
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate(keys))], ["rep", "key"])
+                    found = [from_blob(x)[1] for x in b.column(1)[z : z + 100].to_pylist()]
+                    rep = np.repeat(b.column(0)[z : z + 100].to_numpy(), [len(x) for x in found])
+                    for keys in entries_of(np.concatenate(found), some):
+                        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(keys)], ["rep", "key"])
 
         return reps.select("rep", "blob").mapInArrow(run, "rep long, key long")
 
     return [entries(sampled[i : i + TOGETHER]) for i in range(0, len(sampled), TOGETHER)], VOTES
 
 
-def _met(keyed: DataFrame, small: int) -> DataFrame:
-    """(key, rep, centre) of buckets with several members; centre is the first. Those of at most small members have a null key, and no row of their first."""
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("m")).filter("m > 1")
-    both = keyed.join(shared, "key").filter((F.col("m") > small) | (F.col("rep") != F.col("centre")))
-    return both.select(F.when(F.col("m") > small, F.col("key")).alias("key"), "rep", "centre")
+def shared_buckets(reps: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(reps, keys, starts, sizes) of buckets of several reps, in order; each rep once in a bucket."""
+    order = np.argsort(keys)
+    reps, keys = reps[order], keys[order]
+    same = keys[1:] == keys[:-1]
+    keep = np.append(same, False) | np.append(False, same)  # most entries are alone
+    reps, keys = reps[keep], keys[keep]
+    order = np.lexsort((reps, keys))
+    reps, keys = reps[order], keys[order]
+    once = np.append(True, (keys[1:] != keys[:-1]) | (reps[1:] != reps[:-1]))[: len(keys)]
+    reps, keys = reps[once], keys[once]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    sizes = np.diff(np.append(starts, len(keys)))
+    return reps, keys, starts[sizes > 1], sizes[sizes > 1]
+
+
+def counted_pairs(reps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, n) of all pairs a < b of buckets' members, n being how often they met; a pair may come in several parts."""
+    made, total = [], 0
+
+    def counted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*made))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return a[first], b[first], np.diff(np.append(first, len(a)))
+
+    for m in np.unique(sizes).tolist():
+        x, y = np.triu_indices(m, 1)
+        at = starts[sizes == m]
+        some = max(1, MADE // len(x))
+        for z in range(0, len(at), some):
+            here = at[z : z + some, None]
+            made.append((reps[here + x].ravel(), reps[here + y].ravel()))
+            total += len(made[-1][0])
+            if total >= MADE:
+                yield counted()
+                made, total = [], 0
+    if made:
+        yield counted()
+
+
+def _met(keyed: DataFrame, small: int, parts: int) -> DataFrame:
+    """(key, rep, centre, n) of buckets with several members: of those of at most small members every pair, with a null key and how often it met; of larger ones every member, centre being the first."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            reps, keys = (np.concatenate(x) for x in zip(*held))
+            part = (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            reps, keys = reps[order], keys[order]
+            have, at = np.unique(part[order], return_index=True)
+            ends = [*at[1:].tolist(), len(reps)]
+            cells = [[x[i:j].tobytes() for i, j in zip(at.tolist(), ends)] for x in (reps, keys)]
+            return pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), *(pa.array(x, pa.binary()) for x in cells)], ["part", "reps", "keys"])
+
+        for b in batches:
+            held.append(tuple(c.to_numpy() for c in b.columns))
+            n += b.num_rows
+            if n >= SORTED:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [], None
+        names = ["key", "rep", "centre", "n"]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            reps, keys = (np.concatenate([np.frombuffer(y, np.int64) for y in x]) for x in zip(*held))
+            reps, keys, starts, sizes = shared_buckets(reps, keys)
+            few = sizes <= small
+            for a, b, n in counted_pairs(reps, starts[few], sizes[few]):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(b), pa.array(a), pa.array(n)], names)
+            for i, m in zip(starts[~few].tolist(), sizes[~few].tolist()):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + m]), pa.array(reps[i : i + m]), pa.array(np.full(m, reps[i])), pa.array(np.ones(m, np.int64))], names)
+
+        for b in batches:
+            for p, reps, keys in zip(*(c.to_pylist() for c in b.columns)):
+                if p != part and held:
+                    yield from flush()
+                    held = []
+                part = p
+                held.append((reps, keys))
+        if held:
+            yield from flush()
+
+    cells = keyed.select("rep", "key").mapInArrow(dealt, "part long, reps binary, keys binary")
+    return cells.repartition("part").sortWithinPartitions("part").mapInArrow(bucketed, "key long, rep long, centre long, n long")
 
 
 def _confirmed(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The (a, b) that are alike; those that are known to have met often enough need only be explained."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [alike(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            keep = [explained(x, y) if met else alike(x, y) for met, x, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(blobs.toDF("a", "blob_a"), "a").join(blobs.toDF("b", "blob_b"), "b")
-    return both.select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "met", "blob_a", "blob_b").mapInArrow(run, "a long, b long")
 
 
 def _block_links(blocks: DataFrame) -> DataFrame:
@@ -434,12 +547,13 @@ def _block_links(blocks: DataFrame) -> DataFrame:
 def copies(media: DataFrame, id_col: str = "media_id", media_col: str = "media") -> DataFrame:
     """(media_id, n_corners, group_id, kept) of every row: group_id is the smallest linked media_id.
 
-    Equal bytes are one class before anything is compared. A class meets others in the tables
-    of its descriptors' sampled bits. Those that meet a bucket's first VOTES times in small
-    buckets are compared with it. In a bucket of more than SMALL, all are compared with the
-    first; where it then still holds several components, the members outside the largest are
-    compared with all others, in blocks of bounded size. So a bucket of any size is dealt with
-    whole.
+    Groups are the components of alike() over all pairs, for an input of any size. Equal bytes
+    are one class before anything is compared. A class meets others in the tables of its
+    descriptors' sampled bits. How often two meet in buckets of at most SMALL is counted pair by
+    pair, and those that meet VOTES times are compared. In a larger bucket, all are compared
+    with the first; where it then still holds several components, the members outside the
+    largest are compared with all others, in blocks of bounded size. So a bucket of any size is
+    dealt with whole, and no pair that is alike is left out but within a component.
 
     Pictures without corners, and media that can't be read, link with equal bytes alone. A null
     medium links with nothing; a null id has a null group and is kept. Rows that repeat an id
@@ -451,13 +565,22 @@ def copies(media: DataFrame, id_col: str = "media_id", media_col: str = "media")
     # A class has a number of its own, as ids repeat where rows do; the table that is written fixes the numbers.
     reps = cut(classes.select("same", F.monotonically_increasing_id().alias("rep"), "first", "n_corners", "blob"), "classes")
     blobs = reps.select("rep", "blob")
+    n, corners = reps.agg(F.count("*"), F.sum("n_corners")).first()
     tables, votes = _keyed(reps)
-    met = functools.reduce(DataFrame.unionByName, [cut(_met(keyed, SMALL if votes > 1 else 1), "buckets") for keyed in tables])
-    stars = met.filter("rep != centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("n"), F.max(F.col("key").isNotNull()).alias("large"))
-    stars = stars.filter((F.col("n") >= votes) | F.col("large")).select("a", "b")
-    members = met.filter("key is not null")
+    parts = max(48, math.ceil((corners or 0) * TOGETHER / SORTED))
+    met = [cut(_met(keyed, SMALL, parts), "buckets") for keyed in tables]
+    every = functools.reduce(DataFrame.unionByName, met)
+    counted = every.filter("key is null").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.sum("n").alias("n")).filter(F.col("n") >= votes).select("a", "b", F.lit(True).alias("met"))
+    members = cut(every.filter("key is not null").select("key", "rep", "centre"), "members")
+    firsts = members.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"), F.lit(False).alias("met"))
+    stars = cut(counted.unionByName(firsts).groupBy("a", "b").agg(F.max("met").alias("met")), "stars")
+    for x in met:
+        discard(x)
+    # Pairs take their pictures along: at a time as many as there are pictures.
+    slices = math.ceil(stars.count() / max(n, BLOCK))
     with small_batches(media.sparkSession, 2000):
-        links = cut(_confirmed(stars, blobs), "links")
+        links = [cut(_confirmed(stars.filter(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == i), blobs), "links") for i in range(max(1, slices))]
+    links = functools.reduce(DataFrame.unionByName, links)
     comp = components(links)
 
     placed = members.join(comp.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))

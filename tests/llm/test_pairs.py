@@ -240,6 +240,26 @@ def test_open_buckets(spark, monkeypatch):
     assert got == {10 * i + j: 10 * i for i in range(6) for j in range(3)}
 
 
+@pytest.mark.parametrize("others", [0, 3000])
+def test_links_of_any_input(spark, monkeypatch, others):
+    """Whether two pictures are linked depends on these two alone, however many others there are: here on matches of 0 to 46 bits."""
+    rng, rows = np.random.default_rng(3), []
+    places = np.array([(11 * k % 80, 10 * k, 1) for k in range(8)], np.float32)
+    for i in range(24):
+        own = rng.integers(0, 2, (8, images.TESTS), np.uint8)
+        copy = own.copy()
+        for row in copy:
+            row[rng.choice(images.TESTS, 2 * i, replace=False)] ^= 1
+        rows += [(2 * i + j, images.to_blob(places, np.packbits(x, axis=1))) for j, x in enumerate((own, copy))]
+    links = [(a, b) for k, (a, x) in enumerate(rows) for b, y in rows[:k] if images.alike(x, y)]
+    assert 5 < len(links) <= 24
+    more = [(100 + i, images.to_blob(places[:1], np.packbits(rng.integers(0, 2, (1, images.TESTS), np.uint8), axis=1))) for i in range(others)]
+    table = spark.createDataFrame([(i, len(x) // images.WIDTH, str(i).encode(), x) for i, x in rows + more], "media_id long, n_corners long, same binary, blob binary")
+    monkeypatch.setattr(images, "described", lambda *_: table)
+    got = {r.media_id: r.group_id for r in images.copies(table).collect()}
+    assert got == smallest([i for i, _ in rows + more], links)
+
+
 @pytest.mark.parametrize("descriptors", [1000, 2_000_000])
 def test_tables_meet(descriptors):
     """MATCHES matches, each NEAR bits apart: the rarest pair that the tables are sized for."""
