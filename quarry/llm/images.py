@@ -37,8 +37,8 @@ SMALL = 64
 SAMPLED, TOGETHER = 2.3, 5
 #: Descriptors that the tables are sized for, whatever the input; tests that tables sample; entries that are sorted, and pairs that are made, in one go.
 DESCRIPTORS, ACROSS, SORTED, MADE = 2**25, 192, 2**18, 2**18
-#: Descriptors that are compared with others in one go.
-ROWS, COLUMNS = 256, 6400
+#: Descriptors that are compared with others in one go; pictures whose meetings with a block's others are counted in one go.
+ROWS, LEFTS = 256, 64
 
 
 _PNM = re.compile(rb"P[56]" + rb"(?:\s+|#[^\n]*\n)+(\d+)" * 3 + rb"\s")
@@ -258,28 +258,6 @@ def words_of_bits(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(bits).view("<u8")
 
 
-class Crowd:
-    """The descriptors of many pictures, side by side."""
-
-    def __init__(self, pictures: list[np.ndarray]) -> None:
-        self.size = len(pictures)
-        self.words = np.ascontiguousarray(words_of_bits(np.concatenate(pictures)).T)
-        self.starts = np.cumsum([0, *map(len, pictures)])[:-1]
-
-    def enough(self, bits: np.ndarray) -> np.ndarray:
-        """Which pictures have AGREE descriptors within APART bits of one of bits, and bits as many of theirs: agreeing() needs both."""
-        mine, own, theirs = words_of_bits(bits), np.zeros(self.size, np.int64), np.zeros(self.words.shape[1], bool)
-        for i in range(0, len(mine), ROWS):
-            x = mine[i : i + ROWS]
-            apart = np.bitwise_count(x[:, 0, None] ^ self.words[0]).astype(np.uint16)
-            for w in range(1, len(self.words)):
-                apart += np.bitwise_count(x[:, w, None] ^ self.words[w])
-            near = apart <= APART
-            own += np.logical_or.reduceat(near, self.starts, axis=1).sum(axis=0)
-            theirs |= near.any(axis=0)
-        return (own >= AGREE) & (np.add.reduceat(theirs, self.starts, dtype=np.int64) >= AGREE)
-
-
 def nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first nearest y of each x, how many bits they are apart, and the first nearest x of each y."""
     best, least = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
@@ -499,35 +477,57 @@ def _confirmed(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     return both.select("a", "b", "met", "blob_a", "blob_b").mapInArrow(run, "a long, b long")
 
 
+def meetings(lefts: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """(lefts, others): in how many buckets two pictures meet, counted table by table with the descriptors' bits as given."""
+    met = np.zeros((len(lefts), len(others)), np.int32)
+
+    def distinct(bits: np.ndarray, of: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = entries_of(bits, table)[0]
+        order = np.lexsort((of, keys))
+        keys, of = keys[order], of[order]
+        once = np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))
+        return keys[once], of[once]
+
+    other_bits, other = np.concatenate(others), np.repeat(np.arange(len(others)), [len(x) for x in others])
+    tables = _tables()
+    parts = [(z, np.concatenate(lefts[z : z + LEFTS]), np.repeat(np.arange(len(lefts[z : z + LEFTS])), [len(x) for x in lefts[z : z + LEFTS]])) for z in range(0, len(lefts), LEFTS)]
+    for i in range(len(tables)):
+        keys, of = distinct(other_bits, other, tables[i : i + 1])
+        for z, bits, left in parts:
+            mine, own = distinct(bits, left, tables[i : i + 1])
+            first = np.searchsorted(keys, mine)
+            n = np.searchsorted(keys, mine, "right") - first
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            np.add.at(met, (z + np.repeat(own, n), of[at]), 1)
+    return met
+
+
+def block_links(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Links of a block's left pictures with others of other components, one for each such component; only those that meet VOTES times are compared."""
+    lefts = [(rep, comp, blob) for left, _, rep, comp, blob in rows if left]
+    others = [(also, rep, comp, blob) for left, also, rep, comp, blob in rows if not left]
+    if not lefts or not others:
+        return []
+    met = meetings([from_blob(x[2])[1] for x in lefts], [from_blob(x[3])[1] for x in others]) >= VOTES
+    rep, comp = np.array([x[:2] for x in lefts], np.int64).T[:, :, None]
+    also, name, other = np.array([x[:3] for x in others], np.int64).T
+    met &= (comp != other) & ~((also == 1) & (name < rep))  # two that are both left are compared once
+    found = {}
+    for i, j in zip(*(x.tolist() for x in np.nonzero(met))):
+        (a, _, x), (_, b, c, y) = lefts[i], others[j]
+        if (a, c) not in found and explained(x, y):
+            found[a, c] = (a, b)
+    return list(found.values())
+
+
 def _block_links(blocks: DataFrame) -> DataFrame:
     """A link for each left picture of a block and each other component that it is alike to."""
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        lefts = [(rep, comp, blob) for left, _, rep, comp, blob in rows if left]
-        others = [(also, rep, comp, blob) for left, also, rep, comp, blob in rows if not left]
-        others.sort(key=lambda x: x[:2])  # what is left elsewhere comes last, by name
-        crowds, found = [], {}
-        while others:
-            n = k = 0
-            while k < len(others) and (not k or n + len(others[k][3]) // WIDTH <= COLUMNS):
-                n, k = n + len(others[k][3]) // WIDTH, k + 1
-            crowds.append((others[:k], Crowd([from_blob(x[3])[1] for x in others[:k]])))
-            others = others[k:]
-        for rep, comp, x in lefts:
-            for some, crowd in crowds:
-                if some[0][0] and some[-1][1] <= rep:  # two that are both left are compared once
-                    continue
-                for j in np.flatnonzero(crowd.enough(from_blob(x)[1])).tolist():
-                    also, name, other, y = some[j]
-                    if other != comp and not (also and name < rep) and (rep, other) not in found and alike(x, y):
-                        found[rep, other] = (rep, name)
-        return list(found.values())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def flush() -> pa.RecordBatch:
-            links = compare(rows)
+            links = block_links(rows)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
         for b in batches:
@@ -551,9 +551,10 @@ def copies(media: DataFrame, id_col: str = "media_id", media_col: str = "media")
     are one class before anything is compared. A class meets others in the tables of its
     descriptors' sampled bits. How often two meet in buckets of at most SMALL is counted pair by
     pair, and those that meet VOTES times are compared. In a larger bucket, all are compared
-    with the first; where it then still holds several components, the members outside the
-    largest are compared with all others, in blocks of bounded size. So a bucket of any size is
-    dealt with whole, and no pair that is alike is left out but within a component.
+    with the first; where it then still holds several components, the meetings of the members
+    outside the largest with all others are counted, in blocks of bounded size, and those that
+    meet VOTES times are compared. So a bucket of any size is dealt with whole, and no pair that
+    is alike is left out but within a component.
 
     Pictures without corners, and media that can't be read, link with equal bytes alone. A null
     medium links with nothing; a null id has a null group and is kept. Rows that repeat an id

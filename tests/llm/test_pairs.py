@@ -240,6 +240,27 @@ def test_open_buckets(spark, monkeypatch):
     assert got == {10 * i + j: 10 * i for i in range(6) for j in range(3)}
 
 
+def test_large_buckets_compare_few(monkeypatch):
+    """Pictures that all share one descriptor, and no more, meet once: of a large bucket only those that meet again are compared."""
+    rng, calls, explained = np.random.default_rng(4), [], images.explained
+    places = np.array([(11 * k % 80, 10 * k, 1) for k in range(8)], np.float32)
+    common, found = rng.integers(0, 2, (1, images.TESTS), np.uint8), []
+    # it is in one table's bucket only: all bits that the table doesn't sample are drawn anew
+    for _ in range(60):
+        own = rng.integers(0, 2, (8, images.TESTS), np.uint8)
+        own[0, images._tables()[0]] = common[0, images._tables()[0]]
+        found.append(own)
+    found[59] = found[7].copy()
+    blobs = [images.to_blob(places, np.packbits(x, axis=1)) for x in found]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if len(np.intersect1d(*(images._keys(blobs[i]) for i in (a, b)))) >= images.VOTES}
+    counts = images.meetings(*2 * [[images.from_blob(x)[1] for x in blobs]])
+    assert all(counts[a, b] == len(np.intersect1d(images._keys(blobs[a]), images._keys(blobs[b]))) for a in (0, 7, 59) for b in range(60))
+    monkeypatch.setattr(images, "explained", lambda x, y: calls.append((blobs.index(x), blobs.index(y))) or explained(x, y))
+    rows = [(left, True, i, i, x) for left in (True, False) for i, x in enumerate(blobs)]
+    assert images.block_links(rows) == [(7, 59)]
+    assert len(calls) == len(want) < 60
+
+
 @pytest.mark.parametrize("others", [0, 3000])
 def test_links_of_any_input(spark, monkeypatch, others):
     """Whether two pictures are linked depends on these two alone, however many others there are: here on matches of 0 to 46 bits."""
