@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.catalog import DIGITS, query, table
 from quarry.operators import corpus, mutations, tools
@@ -17,16 +17,18 @@ UNIQUE = "uniq as (select r.* from records r join (select text, min(record_key)
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").cast("string").alias("record_key"), corpus.normalised(F.col("text")).alias("text"), "lang", "source")
-    return rows.filter("text is not null")
+    return corpus.with_normalised(docs.select(F.col("doc_id").cast("string").alias("record_key"), "text", "lang", "source"))
 
 
-def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.deduplicated(records(spark, sf_dir))
+def unique(spark: SparkSession, sf_dir: str, *columns: Column) -> DataFrame:
+    """The first record of each text: its key, the text's SHA-256, and columns made of the record before any is compared."""
+    rows = records(spark, sf_dir).select("record_key", F.sha2("text", 256).alias("sha256"), *columns)
+    return corpus.deduplicated(rows, digest="sha256")
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("n_tokens", F.size(F.filter(F.split("text", r"\s+"), lambda t: t != "")).cast("long"))
+def n_tokens() -> Column:
+    """Words of a record's text."""
+    return F.size(F.filter(F.split("text", r"\s+"), lambda t: t != "")).cast("long").alias("n_tokens")
 
 
 @query("corpus_normalize", f"with {RECORDS} select record_key, md5(text) as digest, length(text) as n from records")
@@ -36,7 +38,7 @@ def corpus_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("corpus_dedup", f"with {RECORDS}, {UNIQUE} select record_key, lang, md5(text) as digest from uniq")
 def corpus_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unique(spark, sf_dir).select("record_key", "lang", F.md5("text").alias("digest"))
+    return unique(spark, sf_dir, F.col("lang"), F.md5("text").alias("digest")).select("record_key", "lang", "digest")
 
 
 @query("discovery_merge", """with found as (select source as record_key, n_chars / 100.0 as score, ['u' || doc_id % 7, 'u' || doc_id % 3] as uris, '{"lang":"' || lang || '"}' as metadata, substr(md5(text), 1, 8) as inline_text from documents)
@@ -73,7 +75,7 @@ def corpus_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
         union all select record_key, 'sourced', 0, '[' || source || '] ' || text from c where n + 1 < 3)
     select record_key, view, copy, md5(text) as digest from v""".replace("{{", "{").replace("}}", "}"))
 def corpus_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = unique(spark, sf_dir)
+    rows = unique(spark, sf_dir, F.col("text"), F.col("lang"), F.col("source"))
     n = corpus.copies(1, {"en": 2, "de": 3}, {}, F.col("lang"), F.lit(""))
     templates = [("titled", "Topic: ${topic}\n${text}\n${unknown}"), ("sourced", "[${metadata.source}] ${text}")]
     values = {"topic": F.col("lang"), "text": F.col("text"), "metadata.source": F.col("source")}
@@ -85,7 +87,7 @@ COUNTED = f"{RECORDS}, {UNIQUE}, cnt as (select *, len({WORDS.format('text')}) a
 
 @query("corpus_token_budget", f"with {COUNTED} select record_key, n_tokens from run where before < 20000 and before + n_tokens <= 25000")
 def corpus_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = counted(unique(spark, sf_dir)).select("record_key", "n_tokens")
+    rows = unique(spark, sf_dir, n_tokens()).select("record_key", "n_tokens")
     return corpus.budgeted(rows, "record_key", "n_tokens", 20000, 25000)
 
 
@@ -96,13 +98,13 @@ _SHARDS = f"""with recursive {COUNTED}, num as (select record_key, text, n_token
 
 @query("corpus_shards", _SHARDS + "select shard, count(*) as records, sum(n_tokens) as tokens from s group by shard")
 def corpus_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = counted(unique(spark, sf_dir)).select("record_key", "n_tokens")
+    rows = unique(spark, sf_dir, n_tokens()).select("record_key", "n_tokens")
     return corpus.sharded(rows, "record_key", "n_tokens", 10000).groupBy("shard").agg(F.count("*").alias("records"), F.sum("n_tokens").alias("tokens"))
 
 
 @query("corpus_manifest", _SHARDS + "select shard, count(*) as records, sum(n_tokens) as tokens, sha256(string_agg(sha256(text), '' order by record_key)) as sha256 from s group by shard")
 def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = counted(unique(spark, sf_dir)).select("record_key", "text", "n_tokens")
+    rows = unique(spark, sf_dir, F.col("text"), n_tokens()).select("record_key", "text", "n_tokens")
     cut = corpus.sharded(rows, "record_key", "n_tokens", 10000)
     return corpus.manifest(cut, "record_key", "n_tokens")
 
@@ -113,7 +115,7 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     t as (select *, sum(n_tokens) over (order by own / weight, tie, record_key rows unbounded preceding) - n_tokens as before2, row_number() over (order by own / weight, tie, record_key) - 1 as position from s)
     select 'warmup' as stage, position, record_key, lang as stratum, n_tokens from t where before2 < 20000""")
 def curriculum_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = counted(unique(spark, sf_dir)).select("record_key", "lang", "n_tokens")
+    rows = unique(spark, sf_dir, F.col("lang"), n_tokens()).select("record_key", "lang", "n_tokens")
     strata = (corpus.Stratum("en", F.col("lang") == "en", 3.0), corpus.Stratum("fr", F.col("lang") == "fr", 1.0))
     return corpus.compose(rows, [corpus.Stage("warmup", 20000, strata)])
 

@@ -7,7 +7,7 @@ import hashlib
 import json
 import operator
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -20,29 +20,45 @@ def normalised(text: Column, blank_lines: int = 2, least: int = 1) -> Column:
     """Canonical line ends and spaces, trimmed; null where the text is broken or too short.
 
     Carriage returns become newlines. A run of other white space becomes one space, or nothing
-    after a newline. More than ``blank_lines`` blank lines in a row are cut to that many.
+    after a newline. More than ``blank_lines`` blank lines in a row are cut to that many. Patterns
+    are looked for only in texts that hold what they begin with.
     """
-    lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[\p{IsWhite_Space}&&[^\n]]+", " ")
-    lines = F.regexp_replace(lines, "\n ", "\n")
-    lines = F.regexp_replace(lines, f"\n{{{blank_lines + 2},}}", "\n" * (blank_lines + 1))
-    out = F.regexp_replace(lines, "^[ \n]+|[ \n]+$", "")
-    return F.when(~F.contains(text, F.lit("�")) & (F.length(out) >= least), out)
+    lines = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    lines = F.replace(F.regexp_replace(lines, r"[\p{IsWhite_Space}&&[^\n]]+", " "), F.lit("\n "), F.lit("\n"))
+    many = "\n" * (blank_lines + 2)
+    lines = _bound(lines, lambda x: F.when(F.contains(x, F.lit(many)), F.regexp_replace(x, f"\n{{{blank_lines + 2},}}", many[1:])).otherwise(x))
+    whole = F.when(~F.contains(text, F.lit("�")), F.trim(lines, F.lit(" \n")))
+    return _bound(whole, lambda x: F.when(F.length(x) >= least, x))
 
 
-def deduplicated(records: DataFrame, key: str = "record_key", text: str = "text") -> DataFrame:
+def _bound(column: Column, f: Callable[[Column], Column]) -> Column:
+    """f(column), with column computed once however often f's result names it."""
+    return F.transform(F.array(column), f)[0]
+
+
+def with_normalised(records: DataFrame, text: str = "text", blank_lines: int = 2, least: int = 1) -> DataFrame:
+    """records with normalised texts, without those that are broken or too short.
+
+    A generator makes the text: no filter or projection above it is moved below, so each text is
+    normalised once, however often a plan names it.
+    """
+    once = F.explode_outer(F.array(normalised(F.col(text), blank_lines, least))).alias(text)
+    return records.select(*[once if c == text else c for c in records.columns]).filter(F.col(text).isNotNull())
+
+
+def deduplicated(records: DataFrame, key: str = "record_key", text: str = "text", digest: str | None = None) -> DataFrame:
     """One record for each text and key: the first by key stays. Null texts count as one text.
 
-    Keys and digests alone tell which, summed up in the tasks before they are shuffled, so that a
-    text of any number of copies is no burden. Whole records are shuffled once, to be joined;
-    only those that repeat both key and text are then told apart.
+    Records are written once with a number each, so that whatever makes them runs once. Keys,
+    digests and numbers alone tell which stay, summed up in the tasks before they are shuffled, so
+    that a text of any number of copies is no burden; what is written is then joined by number.
+    ``digest`` names a column that tells texts apart; records then need no text.
     """
-    digest = F.coalesce(F.sha2(text, 256), F.lit(""))
-    counted = records.select(F.col(key).alias("__key"), digest.alias("__digest")).groupBy("__key", "__digest").agg(F.count("*").alias("__n"))
-    by_key = counted.groupBy("__key").agg(F.min(F.struct("__digest", "__n")).alias("x")).select("__key", "x.*")
-    first = by_key.groupBy("__digest").agg(F.min(F.struct("__key", "__n")).alias("x")).select("__digest", "x.*")
-    kept = records.withColumn("__key", F.col(key)).withColumn("__digest", digest).join(first, ["__key", "__digest"])
-    names = records.columns
-    return kept.filter("__n = 1").select(*names).unionByName(kept.filter("__n > 1").dropDuplicates(["__key"]).select(*names))
+    told = F.coalesce(F.col(digest) if digest else F.sha2(text, 256), F.lit(""))
+    written = materialised(records.filter(F.col(key).isNotNull()).withColumns({"__digest": told, "__id": F.monotonically_increasing_id()}), "records")
+    by_key = written.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct("__digest", "__id")).alias("x")).select("__key", "x.*")
+    first = by_key.groupBy("__digest").agg(F.min(F.struct("__key", "__id")).alias("x")).select(F.col("x.__id").alias("__id"))
+    return written.join(first, "__id", "left_semi").select(*records.columns)
 
 
 def merged(found: DataFrame, key: str = "record_key") -> DataFrame:
@@ -115,19 +131,29 @@ def views(records: DataFrame, n_copies: Column, templates: Sequence[tuple[str, s
 
 
 def running(records: DataFrame, key: str, size: str, name: str = "before") -> DataFrame:
-    """records with the sum of size over all smaller keys, by two passes of sums.
+    """records with the sum of size over all smaller keys, by two passes of sums."""
+    return running_sums(records, [key], {name: size})
+
+
+def running_sums(records: DataFrame, keys: Sequence[str], sums: Mapping[str, str], by: str | None = None) -> DataFrame:
+    """records with a column for each of sums: what its size adds up to over all smaller keys.
 
-    Rows are dealt by ranges of the key; a running sum over the ranges' totals gives each its
+    Rows are dealt by ranges of the keys; a running sum over the ranges' totals gives each its
     start. So no task holds more than its range. The dealt rows are written once, as both
-    passes must see the same ranges, which are drawn from samples.
+    passes must see the same ranges, which are drawn from samples. With ``by``, a column without
+    nulls, the sums of its values are apart; still the rows are dealt and written once.
     """
-    names = ["__part", "__seq", "__size", "__start", "__within"]
-    dealt = records.repartitionByRange(key).sortWithinPartitions(key).withColumns({names[0]: F.spark_partition_id(), names[1]: F.monotonically_increasing_id()})
+    groups = [by] if by else []
+    keys = groups + list(keys)
+    dealt = records.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"__part": F.spark_partition_id(), "__seq": F.monotonically_increasing_id()})
     dealt = materialised(dealt, "running")
-    totals = dealt.groupBy("__part").agg(F.sum(size).alias("__size"))
-    starts = totals.select("__part", (F.sum("__size").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__size")).alias("__start"))  # one row for each task
-    within = F.coalesce(F.sum(size).over(Window.partitionBy("__part").orderBy("__seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("__within", within).join(starts, "__part").withColumn(name, F.col("__start") + F.col("__within")).drop(*names)
+    ends = dealt.groupBy(*groups, "__part").agg(*[F.sum(size).alias(f"__{name}") for name, size in sums.items()])
+    parts = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__part")  # one row for each task and group
+    starts = ends.select(*groups, "__part", *[(F.sum(f"__{name}").over(parts) - F.col(f"__{name}")).alias(f"__{name}") for name in sums])
+    rows = Window.partitionBy(*groups, "__part").orderBy("__seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumns({name: F.coalesce(F.sum(size).over(rows), F.lit(0)) for name, size in sums.items()})
+    joined = within.join(starts, [*groups, "__part"]).withColumns({name: F.col(f"__{name}") + F.col(name) for name in sums})
+    return joined.select(*[c for c in records.columns if c not in sums], *sums)
 
 
 def budgeted(records: DataFrame, key: str, size: str, desired: int, maximum: int) -> DataFrame:
@@ -195,10 +221,12 @@ def compose(records: DataFrame, stages: Sequence[Stage], key: str = "record_key"
 
     Again and again the stratum with the least emitted tokens for its weight gives its next
     record (ties by a digest of seed, stage and stratum), until the stage has its tokens. The
-    choice is sequential, and reads only (stratum, order, key, size): a task goes through a
-    stage's streams, which are merged in the order of their running totals. A stratum's i-th
-    record is taken when its total before is the least, so that order is a sort by
-    (total before / weight, tie), and the stage is a running sum over it.
+    choice is sequential, and reads only (stratum, order, key, size). A stratum's i-th record is
+    taken when its total before is the least, so that order is a sort by (total before / weight,
+    tie), and the stage is a running sum over it. All strata's totals come from one running sum.
+    A record's own stratum has no more tokens before it than the stage has, so that one with
+    ``desired`` or more in its stratum is never taken, nor anything after it: what is sorted is at
+    most ``desired`` tokens of each stratum. As totals only grow, those taken are the first in order.
     """
     out = []
     for stage in stages:
@@ -212,16 +240,13 @@ def compose(records: DataFrame, stages: Sequence[Stage], key: str = "record_key"
         tagged = rows.select(key, size, wrong.otherwise(name).alias("stratum")).filter("stratum is not null")
         tie = F.create_map(*[F.lit(x) for s in stage.strata for x in (s.name, hashlib.sha256(f"{seed}:{stage.name}:{s.name}".encode()).hexdigest())])
         weight = F.create_map(*[F.lit(x) for s in stage.strata for x in (s.name, float(s.weight))])
-        # Each stratum's running total, by ranges of its keys.
-        parts = [running(tagged.filter(F.col("stratum") == s.name), key, size) for s in stage.strata]
-        streams = functools.reduce(DataFrame.unionByName, parts)
-        ordered = streams.withColumn("turn", F.struct((F.col("before") / F.element_at(weight, F.col("stratum"))).alias("at"), F.element_at(tie, F.col("stratum")).alias("tie"), F.col(key).alias("k")))
-        placed = running(ordered.drop("before"), "turn", size)
+        streams = running_sums(tagged, [key], {"before": size}, by="stratum").filter(F.col("before") < stage.desired)
+        turn = F.struct((F.col("before") / F.element_at(weight, F.col("stratum"))).alias("at"), F.element_at(tie, F.col("stratum")).alias("tie"), F.col(key).alias("k"))
+        placed = running_sums(streams.withColumns({"turn": turn, "__one": F.lit(1)}), ["turn"], {"before": size, "position": "__one"})
         kept = placed.filter(F.col("before") < stage.desired)
         if stage.maximum is not None:
             kept = kept.filter(F.col("before") + F.col(size) <= stage.maximum)
-        counted = running(kept.drop("before").withColumn("__one", F.lit(1)), "turn", "__one", "position")
-        out.append(counted.select(F.lit(stage.name).alias("stage"), "position", key, "stratum", size))
+        out.append(kept.select(F.lit(stage.name).alias("stage"), "position", key, "stratum", size))
     return functools.reduce(DataFrame.unionByName, out)
 
 
