@@ -104,9 +104,9 @@ def corpus_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("corpus_manifest", _SHARDS + "select shard, count(*) as records, sum(n_tokens) as tokens, sha256(string_agg(sha256(text), '' order by record_key)) as sha256 from s group by shard")
 def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = unique(spark, sf_dir, F.col("text"), n_tokens()).select("record_key", "text", "n_tokens")
+    rows = unique(spark, sf_dir, n_tokens())
     cut = corpus.sharded(rows, "record_key", "n_tokens", 10000)
-    return corpus.manifest(cut, "record_key", "n_tokens")
+    return corpus.manifest(cut, "record_key", "n_tokens", digest="sha256")
 
 
 @query("curriculum_compose", f"""with {COUNTED},

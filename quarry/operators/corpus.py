@@ -186,9 +186,13 @@ def sharded(records: DataFrame, key: str, size: str, maximum: int) -> DataFrame:
     return records.join(metadata.select(key, "shard"), key)
 
 
-def manifest(shards: DataFrame, key: str, size: str, text: str = "text") -> DataFrame:
-    """(shard, records, tokens, sha256) of each shard: the digest is of its texts' digests, by key."""
-    digests = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.sha2(text, 256).alias("d")))), lambda x: x["d"]), "")
+def manifest(shards: DataFrame, key: str, size: str, text: str = "text", digest: str | None = None) -> DataFrame:
+    """(shard, records, tokens, sha256) of each shard: the digest is of its texts' digests, by key.
+
+    ``digest`` names a column of the texts' SHA-256; shards then need no text.
+    """
+    each = F.col(digest) if digest else F.sha2(text, 256)
+    digests = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), each.alias("d")))), lambda x: x["d"]), "")
     return shards.groupBy("shard").agg(F.count("*").alias("records"), F.sum(size).alias("tokens"), F.sha2(digests, 256).alias("sha256"))
 
 
