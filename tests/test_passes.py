@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import catalog, catalog_corpus
 
-CORPUS = ["curriculum_compose", "corpus_manifest"]
+CORPUS = ["curriculum_compose", "corpus_manifest", "corpus_token_budget"]
 
 
 def texts_made(spark, monkeypatch, run) -> float:
