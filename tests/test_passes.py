@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import catalog, catalog_corpus
 
-CORPUS = ["curriculum_compose", "corpus_manifest", "corpus_token_budget", "corpus_dedup", "corpus_shards"]
+CORPUS = ["curriculum_compose", "corpus_manifest", "corpus_token_budget", "corpus_dedup", "corpus_shards", "corpus_render"]
 
 
 def texts_made(spark, monkeypatch, run) -> float:
