@@ -81,7 +81,12 @@ class Rule:
 
 def classified(text: Column, rules: Sequence[Rule], default: str, metadata: Mapping[str, Column] | None = None) -> Column:
     """The label of the best rule that holds: priority, then metadata, then words that count, then the smaller label."""
-    folded, metadata = F.lower(text), metadata or {}
+    if not rules:
+        return F.lit(default)
+    return _bound(F.lower(text), lambda folded: _best_label(folded, rules, default, metadata or {}))
+
+
+def _best_label(folded: Column, rules: Sequence[Rule], default: str, metadata: Mapping[str, Column]) -> Column:
     options = []
     for r in rules:
         has = lambda w: F.contains(folded, F.lit(w.lower()))
@@ -93,8 +98,6 @@ def classified(text: Column, rules: Sequence[Rule], default: str, metadata: Mapp
         holds = functools.reduce(operator.and_, tests) if tests else F.lit(True)
         option = F.struct(F.lit(-r.priority).alias("p"), F.lit(-len(r.metadata)).alias("m"), (-functools.reduce(operator.add, counted)).alias("n"), F.lit(r.label).alias("label"))
         options.append(F.when(holds, option))
-    if not options:
-        return F.lit(default)
     return F.coalesce(F.array_min(F.array_compact(F.array(*options)))["label"], F.lit(default))
 
 
