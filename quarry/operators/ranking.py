@@ -38,24 +38,31 @@ def ranked(hits: DataFrame, depth: int, keys: Sequence[str] = ("doc_id",)) -> Da
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-def branch_lists(index: Index, fusion: N.Fusion, digits: int | None = None) -> DataFrame:
+def branch_scores(index: Index, branches: Sequence[N.Branch]) -> DataFrame:
+    """Each branch's match and score of every document (b0_match, b0_score, ...), for several readers: one scan of the texts."""
+    return scored(index, {f"b{i}": b.query for i, b in enumerate(branches)}, again=True)
+
+
+def branch_lists(index: Index, fusion: N.Fusion, digits: int | None = None, rows: DataFrame | None = None, at: Sequence[int] | None = None) -> DataFrame:
     """(branch, id, ordinal, score, rank): each branch's nominations, from one scan.
 
-    A branch of scope chunk nominates values by ordinal; others documents, as ordinal 0.
+    A branch of scope chunk nominates values by ordinal; others documents, as ordinal 0. ``rows``
+    are branch_scores() that the caller has, and ``at`` the places there of the fusion's branches.
     """
     if fusion.depth * len(fusion.branches) > MOST_CANDIDATES:
         raise QueryError(f"a fusion has at most {MOST_CANDIDATES} candidates")
-    rows = scored(index, {f"b{i}": b.query for i, b in enumerate(fusion.branches)})
+    rows = branch_scores(index, fusion.branches) if rows is None else rows
     rounded = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     lists = []
-    for i, b in enumerate(fusion.branches):
+    for j, b in enumerate(fusion.branches):
+        i = at[j] if at else j
         mine = rows.filter(f"b{i}_match")
         if b.scope == "chunk":
             each = mine.select(index.id_col, F.posexplode(f"b{i}_ordinals").alias("ordinal", "score")).filter("score is not null")
         else:
             each = mine.select(index.id_col, F.lit(0).alias("ordinal"), F.col(f"b{i}_score").alias("score"))
         each = each.withColumn("score", rounded(F.col("score")))
-        lists.append(ranked(each, fusion.depth, (index.id_col, "ordinal")).withColumn("branch", F.lit(i)))
+        lists.append(ranked(each, fusion.depth, (index.id_col, "ordinal")).withColumn("branch", F.lit(j)))
     return functools.reduce(DataFrame.unionByName, lists)
 
 
@@ -93,13 +100,13 @@ def candidates(index: Index, fusion: N.Fusion, backfill: bool = True, digits: in
     """
     names = [b.name or f"b{i}" for i, b in enumerate(fusion.branches)]
     voting = [(i, b) for i, b in enumerate(fusion.branches) if not b.score_only]
-    lists = branch_lists(index, N.Fusion(tuple(b for _, b in voting), "rrf", fusion.k, fusion.depth), digits)
-    voted = votes(lists, N.Fusion(tuple(b for _, b in voting), "rrf", fusion.k, fusion.depth))
+    nominating = N.Fusion(tuple(b for _, b in voting), "rrf", fusion.k, fusion.depth)
+    rows = branch_scores(index, fusion.branches) if backfill else None
+    voted = votes(branch_lists(index, nominating, digits, rows, [i for i, _ in voting] if backfill else None), nominating)
     own = [F.max(F.when(F.col("branch") == j, F.col("score"))).alias(names[i]) for j, (i, _) in enumerate(voting)]
     nominated = voted.groupBy(index.id_col).agg(F.sum("vote").alias("rrf"), *own)
     if not backfill:
         return nominated.select(index.id_col, *[F.col(f"`{n}`") if n in nominated.columns else F.lit(None).cast("double").alias(n) for n in names], "rrf")
-    rows = scored(index, {f"b{i}": b.query for i, b in enumerate(fusion.branches)})
     each = [F.when(F.col(f"b{i}_match"), F.round(f"b{i}_score", digits) if digits is not None else F.col(f"b{i}_score")).alias(n) for i, n in enumerate(names)]
     # At most MOST_CANDIDATES ids, which branch_lists() checks.
     return rows.select(index.id_col, *each).join(F.broadcast(nominated.select(index.id_col, "rrf")), index.id_col)

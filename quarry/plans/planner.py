@@ -3,7 +3,10 @@
 A query becomes two columns of a document's row: whether it matches, and its score. So a
 search is one scan with filters and projections, and its top k needs no shuffle but that of k
 rows a task. What scores need of the whole index (counts, lengths, document frequencies) is one
-aggregate beforehand, whose single row enters the plan as literals.
+aggregate, whose single row enters the plan as literals. Both read the same facts, what a text
+says about the query's words (counts, lengths, places): where statistics are missing, or several
+readers want the scores, the scan that tokenises the texts writes the facts, a few numbers a
+document, and nothing tokenises them again.
 """
 
 from __future__ import annotations
@@ -11,12 +14,14 @@ from __future__ import annotations
 import functools
 import operator
 from collections import Counter
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions import scoring
 from quarry.functions.analysis import Analyzer, analyzer
+from quarry.operators.written import materialised
 from quarry.plans import nodes as N, patterns
 from quarry.plans.nodes import QueryError
 from quarry.schema import Field, Schema
@@ -84,47 +89,61 @@ class Index:
             raise QueryError(f"{name!r} is no indexed text field")
         return f
 
+    def missing(self, wanted: dict[str, set[str]]) -> dict[str, set[str]]:
+        """Of wanted, the fields and tokens whose statistics are not known."""
+        new = {f: terms - set(self.known[f].df) if f in self.known else terms for f, terms in wanted.items()}
+        return {f: terms for f, terms in new.items() if terms or f not in self.known}
+
     def gather(self, wanted: dict[str, set[str]]) -> None:
         """One pass over the documents for the statistics of fields, and the df of tokens."""
-        missing = {f: terms - set(self.known[f].df) if f in self.known else terms for f, terms in wanted.items()}
-        missing = {f: terms for f, terms in missing.items() if terms or f not in self.known}
-        if not missing:
-            return
-        tok = {f: f"tokens_{i}" for i, f in enumerate(missing)}
-        rows = self.docs.select(*[self.tokens(f).alias(c) for f, c in tok.items()])
-        holds = lambda t: lambda x: F.array_contains(x, t)
+        if missing := self.missing(wanted):
+            plan = Planner(self, missing)
+            self.learn(missing, plan, plan.facts())
+
+    def learn(self, missing: dict[str, set[str]], plan: Planner, facts: DataFrame) -> None:
+        """Statistics from the facts that plan has written."""
         out = []
         for f, terms in missing.items():
-            c = F.col(tok[f])
             names = sorted(terms)
             if self.schema[f].chunked:
-                present = F.filter(c, lambda x: x.isNotNull())
-                out += [F.coalesce(F.sum(F.size(present)), F.lit(0)), F.coalesce(F.sum(F.aggregate(present, F.lit(0), lambda s, x: s + F.size(F.array_compact(x)))), F.lit(0))]
-                out += [F.coalesce(F.sum(F.size(F.filter(present, holds(t)))), F.lit(0)) for t in names]
+                present = F.filter(plan.chunks(f), lambda x: x.isNotNull())
+                out += [F.coalesce(F.sum(F.size(present)), F.lit(0)), F.coalesce(F.sum(F.aggregate(present, F.lit(0), lambda s, x: s + x["l"])), F.lit(0))]
+                out += [F.coalesce(F.sum(F.size(F.filter(present, lambda x: x[plan.slot(f, t)] > 0))), F.lit(0)) for t in names]  # noqa: B023
             else:
-                out += [F.count(c), F.coalesce(F.sum(F.size(F.array_compact(c))), F.lit(0))]
-                out += [F.count_if(F.array_contains(c, t)) for t in names]
-        got = rows.agg(F.count("*").alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(out)]).first()
+                length = plan.length(f)
+                out += [F.count(length), F.coalesce(F.sum(length), F.lit(0))]
+                out += [F.count_if(plan.term_parts(f, t)[0] > 0) for t in names]
+        got = facts.agg(F.count("*").alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(out)]).first()
         at = 1
         for f, terms in missing.items():
             holders, tokens = int(got[at]), int(got[at + 1])
             df = dict(zip(sorted(terms), map(int, got[at + 2 : at + 2 + len(terms)])))
             at += 2 + len(terms)
             chunked, old = self.schema[f].chunked, self.known.get(f)
-            floor = old.floor if old else self.chunk_floor(f) if chunked else 0
+            floor = old.floor if old else self.chunk_floor(facts, plan.chunks(f)) if chunked else 0
             self.known[f] = Stats(holders if chunked else int(got["n"]), holders, tokens, floor, (old.df if old else {}) | df)
 
-    def chunk_floor(self, name: str) -> int:
+    def chunk_floor(self, facts: DataFrame, chunks: Column) -> int:
         """The least length that nine of ten chunks don't exceed."""
-        lengths = self.docs.select(F.explode(F.transform(self.tokens(name), lambda x: F.size(F.array_compact(x)))).alias("x"))
+        lengths = facts.select(F.explode(F.transform(chunks, lambda x: x["l"])).alias("x"))
         return int(lengths.agg(F.expr("percentile_disc(0.9) within group (order by x)")).first()[0] or 0)
 
 
 class Planner:
-    def __init__(self, index: Index) -> None:
+    """wanted: fields, and those of their tokens that the queries name.
+
+    Features depend on a document and the queries alone, never on statistics. While it learns
+    which there are, statistics are stubs, and every token and clause counts as chosen.
+    """
+
+    def __init__(self, index: Index, wanted: dict[str, set[str]] | None = None) -> None:
         self.index, self.schema = index, index.schema
-        self.features: dict[str, Column] = {}
+        self.features: dict[str, tuple[str, Column]] = {}
         self.token_columns: dict[str, str] = {}
+        self.terms = {f: sorted(t) for f, t in (wanted or {}).items()}
+        self.used: dict[str, None] = {}
+        self.written: DataFrame | None = None
+        self.learning = False
 
     # Columns that several clauses use stand once in the plan
 
@@ -132,10 +151,21 @@ class Planner:
         self.index.text_field(name)
         return F.col(self.token_columns.setdefault(name, f"__tokens_{len(self.token_columns)}"))
 
-    def feature(self, key: str, column: Column) -> Column:
-        name = f"__{key}"
-        self.features.setdefault(name, column)
-        return F.col(f"`{name}`")
+    def feature(self, key: str, make: Callable[[], Column]) -> Column:
+        if key not in self.features:
+            if self.written is not None:
+                raise AssertionError(f"{key} is not among the facts that were written")
+            column = make()
+            self.features[key] = f"__feature_{len(self.features)}", column
+        return F.col(self.features[key][0])
+
+    def column(self, name: str) -> Column:
+        """A field's own column, which facts then hold."""
+        self.used[name] = None
+        return F.col(name)
+
+    def stats(self, name: str) -> Stats:
+        return Stats(0, 0, 0, 0, {}) if self.learning else self.index.known[name]
 
     def analysed(self, name: str, text: str) -> list[tuple[int, str]]:
         self.index.text_field(name)
@@ -154,14 +184,27 @@ class Planner:
         f = self.schema[node.field]
         return isinstance(node, N.Term) and f.kind == "text" and f.fast and not f.indexed
 
+    def length(self, name: str) -> Column:
+        """Tokens of a plain text field; null without a text."""
+        return self.feature(f"len:{name}", lambda: (lambda t: F.when(t.isNotNull(), F.size(F.array_compact(t))))(self.tok(name)))
+
     def term_parts(self, name: str, token: str) -> tuple[Column, Column]:
         """(tf, length) of a plain text field."""
-        t = self.tok(name)
-        tf = self.feature(f"tf:{name}:{token}", F.coalesce(F.size(t) - F.size(F.array_remove(t, token)), F.lit(0)))
-        return tf, self.feature(f"len:{name}", F.size(F.array_compact(t)))
+        count = lambda t: F.coalesce(F.size(t) - F.size(F.array_remove(t, token)), F.lit(0))
+        return self.feature(f"tf:{name}:{token}", lambda: count(self.tok(name))), self.length(name)
+
+    def slot(self, name: str, token: str) -> str:
+        """The field of chunks() that counts a token."""
+        return f"t{self.terms[name].index(token)}"
+
+    def chunks(self, name: str) -> Column:
+        """Of each chunk its length and how often it has each wanted token; null for a null chunk."""
+        tf = lambda c, t: F.size(c) - F.size(F.array_remove(c, t))
+        one = lambda c: F.when(c.isNotNull(), F.struct(F.size(F.array_compact(c)).alias("l"), *[tf(c, t).alias(self.slot(name, t)) for t in self.terms[name]]))
+        return self.feature(f"chunks:{name}", lambda: F.transform(self.tok(name), one))
 
     def weigh(self, name: str, tf: Column, length: Column, idf: float, boost: float = 1.0) -> Column:
-        f, s = self.schema[name], self.index.known[name]
+        f, s = self.schema[name], self.stats(name)
         if f.chunked:
             length = F.greatest(length, F.lit(s.floor))
         return scoring.bm25(tf, length, idf, s.average, f.k1, f.b, boost)
@@ -173,7 +216,7 @@ class Planner:
 
     def bag(self, name: str, tokens: list[tuple[str, int]], need_all: bool, boost: float = 1.0) -> Compiled:
         """A document's (or best chunk's) sum over tokens with their counts in the query."""
-        stats = self.index.known[name]
+        stats = self.stats(name)
         if not self.schema[name].chunked:
             parts = [(self.term_parts(name, t), n * stats.idf(t)) for t, n in tokens]
             matches = [tf > 0 for (tf, _), _ in parts]
@@ -182,17 +225,16 @@ class Planner:
             return Compiled(match, F.when(match, total).otherwise(F.lit(0.0)))
 
         def chunk(c: Column) -> Column:
-            size = F.size(F.array_compact(c))
-            tfs = [F.size(c) - F.size(F.array_remove(c, t)) for t, _ in tokens]
-            total = functools.reduce(operator.add, [self.weigh(name, tf, size, n * stats.idf(t), boost) for tf, (t, n) in zip(tfs, tokens)])
+            tfs = [c[self.slot(name, t)] for t, _ in tokens]
+            total = functools.reduce(operator.add, [self.weigh(name, tf, c["l"], n * stats.idf(t), boost) for tf, (t, n) in zip(tfs, tokens)])
             matches = [tf > 0 for tf in tfs]
             return F.when(_all(matches) if need_all else _any(matches), total)
 
-        return self.folded(self.feature(f"bag:{name}:{tokens}:{need_all}:{boost}", F.transform(self.tok(name), chunk)))
+        return self.folded(F.transform(self.chunks(name), chunk))
 
     def term(self, node: N.Term) -> Compiled:
         if self.compared_whole(node):
-            value = F.col(node.field)
+            value = self.column(node.field)
             hit = F.coalesce(F.array_contains(value, node.text) if self.schema[node.field].multi else value == F.lit(node.text), F.lit(False))
             return Compiled(hit, F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)), True)
         tokens = [t for _, t in self.analysed(node.field, node.text)]
@@ -203,9 +245,9 @@ class Planner:
     def match(self, node: N.Match) -> Compiled:
         tokens = [t for _, t in self.analysed(node.field, node.text)]
         counts = list(Counter(tokens).items())
-        df = self.index.known[node.field].df if counts else {}
+        df = self.stats(node.field).df if counts else {}
         most = self.schema[node.field].max_terms if node.max_terms is None else node.max_terms
-        if len(counts) > most:  # the rarest stay; those that no document has rank last
+        if len(counts) > most and not self.learning:  # the rarest stay; those that no document has rank last
             rank = sorted(range(len(counts)), key=lambda i: (df.get(counts[i][0], 0) == 0, df.get(counts[i][0], 0), i))[:most]
             counts = [counts[i] for i in sorted(rank)]
         if not counts:
@@ -219,8 +261,8 @@ class Planner:
 
     def proximity(self, node: N.Match, tokens: list[str]) -> Column:
         """For each two neighbouring query words, BM25 of how often they stand in order, and half that of how often near."""
-        t, stats, bonus = self.tok(node.field), self.index.known[node.field], [F.lit(0.0)]
-        places = lambda w: F.filter(F.transform(t, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
+        stats, bonus = self.stats(node.field), [F.lit(0.0)]
+        places = lambda w: lambda: F.filter(F.transform(self.tok(node.field), lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
         _, length = self.term_parts(node.field, tokens[0])
         for a, b in zip(tokens, tokens[1:]):
             pa, pb = self.feature(f"at:{node.field}:{a}", places(a)), self.feature(f"at:{node.field}:{b}", places(b))
@@ -239,7 +281,7 @@ class Planner:
             return self.bag(node.field, [(tokens[0][1], 1)], True)
         if not f.has_token_positions:
             raise QueryError(f"a phrase needs token positions, which {node.field!r} has not")
-        first, idf = tokens[0][0], sum(self.index.known[node.field].idf(t) for _, t in tokens)
+        first, idf = tokens[0][0], sum(self.stats(node.field).idf(t) for _, t in tokens)
 
         def frequency(c: Column) -> Column:
             """How often the phrase stands in the tokens c: c is bound once, so that no lambda computes it anew."""
@@ -256,9 +298,9 @@ class Planner:
             return F.transform(F.array(c), lambda body: F.when(holds(body), within(body)).otherwise(F.lit(0)))[0]
 
         if f.chunked:
-            score = lambda c: (lambda tf: F.when(tf > 0, self.weigh(node.field, tf, F.size(F.array_compact(c)), idf)))(frequency(c))
-            return self.folded(self.feature(f"phrase:{node}", F.transform(self.tok(node.field), score)))
-        tf = self.feature(f"phrase:{node}", F.coalesce(frequency(self.tok(node.field)), F.lit(0)))
+            tfs = self.feature(f"phrase:{node}", lambda: F.transform(self.tok(node.field), frequency))
+            return self.folded(F.zip_with(tfs, self.chunks(node.field), lambda tf, c: F.when(tf > 0, self.weigh(node.field, tf, c["l"], idf))))
+        tf = self.feature(f"phrase:{node}", lambda: F.coalesce(frequency(self.tok(node.field)), F.lit(0)))
         _, length = self.term_parts(node.field, tokens[0][1])
         return Compiled(tf > 0, self.weigh(node.field, tf, length, idf))
 
@@ -273,7 +315,7 @@ class Planner:
         else:
             java = patterns.regex(node.pattern)
             test = lambda t: t.rlike(java)
-        hit = self.feature(f"pattern:{node}", F.coalesce(F.exists(self.tok(node.field), lambda t: F.coalesce(test(t), F.lit(False))), F.lit(False)))
+        hit = self.feature(f"pattern:{node}", lambda: F.coalesce(F.exists(self.tok(node.field), lambda t: F.coalesce(test(t), F.lit(False))), F.lit(False)))
         return Compiled(hit, hit.cast("double"), True)
 
     # Other leaves
@@ -282,7 +324,7 @@ class Planner:
         f = self.schema[node.field]
         if not f.fast:
             raise QueryError(f"a range needs a fast field, which {node.field!r} is not")
-        value = F.get(F.col(node.field), 0) if f.multi else F.col(node.field)
+        value = F.get(self.column(node.field), 0) if f.multi else self.column(node.field)
         tests = [value.isNotNull()] + [value >= F.lit(node.low)] * (node.low is not None) + [value <= F.lit(node.high)] * (node.high is not None)
         hit = _all(tests)
         return Compiled(hit, F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)), True)
@@ -306,19 +348,19 @@ class Planner:
                 raise QueryError(f"{node.field!r} holds no codes of {node.bits} bits")
             score = lambda v: F.when(v.isNotNull(), scoring.hamming_similarity(v, node.words, node.bits))
         if f.multi:
-            each = self.feature(f"vector:{hash(node)}", F.transform(column, score))
+            each = self.feature(f"vector:{node}", lambda: F.transform(column, score))
             matched = F.filter(each, lambda s: s.isNotNull())
             hit = F.coalesce(F.size(matched) > 0, F.lit(False))
             return Compiled(hit, F.when(hit, node.combiner.column(matched)).otherwise(F.lit(0.0)), by_ordinal=each)
-        one = self.feature(f"vector:{hash(node)}", score(column))
+        one = self.feature(f"vector:{node}", lambda: score(column))
         return Compiled(one.isNotNull(), F.coalesce(one, F.lit(0.0)), by_ordinal=F.array(one))
 
     # Composition
 
     def boolean(self, node: N.Boolean) -> Compiled:
         should = list(node.should)
-        if len(should) > MOST_SHOULD:
-            df = {i: min(self.index.known[x.field].df.get(t, 0) for _, t in self.analysed(x.field, x.text)) for i, x in enumerate(should) if isinstance(x, N.Term) and not self.compared_whole(x)}
+        if len(should) > MOST_SHOULD and not self.learning:
+            df = {i: min(self.stats(x.field).df.get(t, 0) for _, t in self.analysed(x.field, x.text)) for i, x in enumerate(should) if isinstance(x, N.Term) and not self.compared_whole(x)}
             order = sorted(range(len(should)), key=lambda i: (df.get(i, 0) == 0, df.get(i, 0), i)) if len(df) == len(should) else range(len(should))
             should = [should[i] for i in sorted(list(order)[:MOST_SHOULD])]
         must, some, none = ([self.compile(x) for x in clauses] for clauses in (node.must, should, node.must_not))
@@ -359,22 +401,48 @@ class Planner:
             raise QueryError("a fusion stands at the top of a query alone")
         raise QueryError(f"unknown query {type(node).__name__}")
 
-    def rows(self, keep: list[str] = ()) -> DataFrame:
-        """The documents with all columns that compiled clauses refer to."""
+    def rows(self) -> DataFrame:
+        """The documents with all columns that compiled clauses refer to, from facts if they are written."""
+        if self.written is not None:
+            return self.written
         index = self.index
         base = index.docs.select("*", *[index.tokens(f).alias(c) for f, c in self.token_columns.items()])
-        return base.select("*", *[c.alias(n) for n, c in self.features.items()])
+        return base.select("*", *[c.alias(n) for n, c in self.features.values()])
 
-
-def scored(index: Index, queries: dict[str, N.Node], keep: list[str] = ()) -> DataFrame:
-    """The id, columns to keep, and for each named query its match, score and scores by ordinal: one scan."""
-    plan = Planner(index)
+    def facts(self, queries: Iterable[N.Node] = (), keep: Sequence[str] = ()) -> DataFrame:
+        """Write all features that the queries may need, with the columns that they and keep name: the one scan that tokenises."""
+        self.learning = True
+        for f, terms in self.terms.items():
+            if self.schema[f].chunked:
+                self.chunks(f)
+            else:
+                self.length(f)
+                for t in terms:
+                    self.term_parts(f, t)
+        for q in queries:
+            self.compile(q)
+        self.learning = False
+        names = dict.fromkeys([self.index.id_col, *keep, *self.used])
+        self.written = materialised(self.rows().select(*names, *[n for n, _ in self.features.values()]), "facts")
+        return self.written
+
+
+def scored(index: Index, queries: dict[str, N.Node], keep: Sequence[str] = (), again: bool = False) -> DataFrame:
+    """The id, columns to keep, and for each named query its match, score and scores by ordinal: one scan.
+
+    With ``again``, the result is read more than once; the scan is not.
+    """
     queries = {k: N.flattened(q) for k, q in queries.items()}
     wanted: dict[str, set[str]] = {}
     for q in queries.values():
-        for f, terms in plan.wanted(q).items():
+        for f, terms in Planner(index).wanted(q).items():
             wanted.setdefault(f, set()).update(terms)
-    index.gather(wanted)
+    plan = Planner(index, wanted)
+    missing = index.missing(wanted)
+    if missing or again:
+        facts = plan.facts(queries.values(), keep)
+        if missing:
+            index.learn(missing, plan, facts)
     done = {k: plan.compile(q) for k, q in queries.items()}
     out = []
     for k, c in done.items():
