@@ -57,8 +57,9 @@ class Combiner:
         elif self.kind == "avg":
             out = total(scores) / F.nullif(F.size(scores), F.lit(0))
         elif self.kind == "log_sum_exp":
-            weights = lambda s: F.exp(F.lit(self.temperature) * (s - F.array_max(scores)))
-            out = total(F.transform(scores, lambda s: weights(s) * s)) / total(F.transform(scores, weights))
+            weight = lambda s, most: F.exp(F.lit(self.temperature) * (s - most))
+            mean = lambda most: total(F.transform(scores, lambda s: weight(s, most) * s)) / total(F.transform(scores, lambda s: weight(s, most)))
+            out = F.transform(F.array(F.array_max(scores)), mean)[0]  # the most is bound once: no value looks for it anew
         else:
             best = F.slice(F.reverse(F.array_sort(scores)), 1, self.k)
             weight = lambda i: F.pow(F.lit(self.decay), i.cast("double"))
