@@ -160,7 +160,8 @@ def ordinal_window(values: Column, scores: Column, top: int = 1, radius: int = 1
         raise QueryError("top goes from 1 to 64 and radius from 0 to 16")
     placed = F.filter(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i"))), lambda x: x["s"].isNotNull())
     best = F.slice(F.array_sort(placed), 1, top)
-    return F.filter(values, lambda v, i: F.exists(best, lambda b: F.abs(b["i"] - i) <= radius))
+    near = lambda best: F.filter(values, lambda v, i: F.exists(best, lambda b: F.abs(b["i"] - i) <= radius))
+    return F.transform(F.array(best), near)[0]  # bound once: no value sorts the scores anew
 
 
 def relevance(vectors: DataFrame, queries: Column, id_col: str, vector_col: str, label_col: str, ks: Sequence[int] = (1, 10)) -> DataFrame:
