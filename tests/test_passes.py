@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry import catalog, catalog_corpus
 
 CORPUS = ["curriculum_compose", "corpus_manifest", "corpus_token_budget", "corpus_dedup", "corpus_shards", "corpus_render", "corpus_classify"]
-SEARCH = ["rrf_chunk", "score_export", "stem_en_match", "combiner_log_sum_exp", "ordinal_window", "rrf_doc", "nws_fusion"]
+SEARCH = ["rrf_chunk", "score_export", "stem_en_match", "combiner_log_sum_exp", "ordinal_window", "rrf_doc", "nws_fusion", "l1_formula"]
 
 
 def texts_made(spark, monkeypatch, run) -> float:
